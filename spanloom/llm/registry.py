@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import simhash
+from spanloom.llm import bpe, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4_simhash,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_packing": packing.op8_packing,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
