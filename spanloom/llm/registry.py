@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, packing, quality, secrets, simhash
+from spanloom.llm import bpe, langid, packing, quality, secrets, simhash, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": warc.op2_warc,
+    "op3_language_id": langid.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
+    "op5_exact_topk": topk.op5_exact_topk,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality.op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.OP5_SQL}
