@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, langid, packing, quality, secrets, simhash, topk, warc
+from spanloom.llm import bpe, langid, packing, quality, secrets, simhash, suffix_sort, suffix_tree, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": suffix_sort.op1_suffix_array,
     "op2_warc": warc.op2_warc,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash": simhash.op4_simhash,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_suffix_tree": suffix_tree.op10_suffix_tree,
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.OP5_SQL}
