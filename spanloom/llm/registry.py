@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import bpe, langid, packing, quality, secrets, simhash, suffix_sort, suffix_tree, topk, warc
@@ -19,5 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_suffix_tree": suffix_tree.op10_suffix_tree,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.OP5_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
