@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,9 +223,9 @@ def even_keys(count: int, partitions: int) -> list[int]:
 
 
 def chunk_count(docs: DataFrame, chunk_mb: int) -> int:
-    """Chunks for the size that Spark expects of the input, taken as half of its text; a partition or more each."""
+    """Chunks for the size that Spark expects of the input, taken as half of its text; two or more for each partition."""
     expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(parts, math.ceil(2 * expected / (chunk_mb << 20))) if expected < 1 << 50 else parts
 
 
@@ -322,7 +323,9 @@ def remove_repeats(
         for b, runs in enumerate(sent):
             if runs:
                 own, d, x, lead, count, text = zip(*runs)
-                rows.append((chunk, keys[b], len(runs), pack(a=np.array(own, np.int64), b=np.array(d, np.int32), c=np.array(x, np.int32), d=np.array(lead, np.uint8), e=np.array(count, np.uint8), f=np.array([len(t) for t in text], np.int32)) + b"".join(text)))
+                data = pack(a=np.array(own, np.int64), b=np.array(d, np.int32), c=np.array(x, np.int32), d=np.array(lead, np.uint8), e=np.array(count, np.uint8), f=np.array([len(t) for t in text], np.int32))
+                # denser than the shuffle's own codec, and the largest part of what is shuffled
+                rows.append((chunk, keys[b], len(runs), zstandard.compress(data + b"".join(text), 1)))
         if settled:
             d, x, count = zip(*settled)
             rows.append((chunk, keys[chunk % buckets], -len(settled), pack(a=np.array(d, np.int32), b=np.array(x, np.int32), c=np.array(count, np.int32))))
@@ -334,7 +337,7 @@ def remove_repeats(
             if n < 0:
                 rows.append((c, b, -n, data))
                 continue
-            *arrays, text = unpack(data, n, "i8", "i4", "i4", "u1", "u1", "i4")
+            *arrays, text = unpack(zstandard.decompress(data), n, "i8", "i4", "i4", "u1", "u1", "i4")
             ends = np.cumsum(arrays[5])
             parts_of.append((np.full(n, c, np.int32), *arrays[:5], [text[z - k : z] for z, k in zip(ends.tolist(), arrays[5].tolist())]))
         if parts_of:
