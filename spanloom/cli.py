@@ -65,8 +65,9 @@ def highlighted(spark: SparkSession, source: str, alignments: list[list[dict]],
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     top = parser()
-    if not argv or argv in (["aln"], ["light"]):
-        (top.parse_args([*argv, "-h"]) if argv else top.print_help(sys.stderr))
+    if len(argv) < 2:
+        commands = next(a for a in top._actions if isinstance(a, argparse._SubParsersAction)).choices
+        commands.get(argv[0] if argv else "", top).print_help(sys.stderr)
         return 1
     args = top.parse_args(argv)
     if args.command is None:

@@ -25,7 +25,7 @@ def is_text(content: Column, sample: int = 1024) -> Column:
 
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:
-    """(path, is_text) of every file under a path."""
+    """(path, is_text) of every file under a path; Spark lists no empty files."""
     return spark.read.format("binaryFile").load(path).select("path", is_text(F.col("content")).alias("is_text"))
 
 
