@@ -6,6 +6,9 @@ formed is merged first. Offsets are kept in bytes (running sums of the lengths o
 counting the bytes that begin one; a token that begins inside a character has the offset of that character. Decoding looks
 up the bytes of each id and joins them before any text is made, so characters split over tokens come back whole.
 
+A match of the pattern is encoded by itself, so each distinct match need be encoded once: texts of common characters are cut
+by the same pattern here and their matches looked up, new ones are encoded together; other texts go to the library whole.
+
 A null text is empty: no tokens, and the digests are those of no bytes. Strings of special tokens are ordinary text.
 """
 
@@ -14,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,11 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import text_batches
 
+#: Every version of Unicode classes the characters below this alike, so any engine cuts them the same way.
+COMMON = re.compile("[^\x00-\u024f]")
+#: Matches that a worker remembers; longer ones are encoded each time.
+MEMORY, LONGEST = 200_000, 64
+
 
 @lru_cache(maxsize=1)
 def byte_table() -> list[str]:
@@ -71,8 +81,34 @@ def id_lengths(path: str) -> np.ndarray:
     return np.array([len(b) for b in id_bytes(path)], np.int64)
 
 
+@lru_cache(maxsize=4)
+def _cutter(path: str):
+    """A function that cuts a text into matches of the pattern, and the ids of matches met before."""
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN).findall, {}
+
+
 def encode(texts: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    cut, known = _cutter(path)
+    if len(known) > MEMORY:
+        known.clear()
+    out: list = [None] * len(texts)
+    cuts = [(k, cut(t)) for k, t in enumerate(texts) if t.isascii() or not COMMON.search(t)]
+    new = list(set().union(*(c for _, c in cuts)).difference(known)) if cuts else []
+    cut_here = {k for k, _ in cuts}
+    whole = [k for k in range(len(texts)) if k not in cut_here]
+    ids = [e.ids for e in tokenizer(path).encode_batch_fast(new + [texts[k] for k in whole], add_special_tokens=False)]
+    known.update(zip(new, ids))
+    for k, c in cuts:
+        out[k] = list(chain.from_iterable(map(known.__getitem__, c)))
+    for k, x in zip(whole, ids[len(new) :]):
+        out[k] = x
+    for word in new:
+        if len(word) > LONGEST:
+            del known[word]
+    return out
 
 
 def decode(ids: list[int], path: str) -> bytes:
