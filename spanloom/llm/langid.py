@@ -6,8 +6,8 @@ the share of each language in the document. Sets of the k most likely languages
 the logarithm of the number of runs for each further language; where even all languages together gain less than one penalty,
 one language is the answer and no set needs fitting. The prediction is the largest share of the chosen set, the score that share.
 
-The tables are counted from at most ``per_language`` labelled documents of each language, those with the smallest hash of
-the id, and their size is languages times ``BUCKETS``; every document is then judged on its whole text. Documents are
+The tables are counted from about ``per_language`` labelled documents of each language (all, if it has fewer), those with
+the smallest hash of the id, and their size is languages times ``BUCKETS``; every document is then judged on its whole text. Documents are
 judged by themselves, so repeated rows get the same result. Null texts and texts without a letter are ``und`` with score 0,
 and so is every text if no labelled document has a letter.
 """
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.arrow import text_batches
@@ -105,9 +105,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(labelled: DataFrame, per_language: int = 1500) -> tuple[list[str], np.ndarray]:
     """The languages, in order, and their log tables from ``labelled`` (doc_id, text, lang)."""
     named = labelled.where("lang is not null and text is not null and doc_id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    some = named.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
-    rows = named.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"]).select("text", "lang")
+    # a share of each language by the hash of the id: no language's rows are ever gathered
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], np.zeros((BUCKETS, 0), np.float32)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, per_language / n)])
+    rows = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
