@@ -18,8 +18,8 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from spanloom.llm.arrow import text_batches
 #: Every version of Unicode classes the characters below this alike, so any engine cuts them the same way.
 COMMON = re.compile("[^\x00-\u024f]")
 #: Matches that a worker remembers; longer ones are encoded each time.
-MEMORY, LONGEST = 200_000, 64
+MEMORY, LONGEST = 400_000, 64
 
 
 @lru_cache(maxsize=1)
@@ -100,9 +100,9 @@ def encode(texts: list[str], path: str) -> list[list[int]]:
     cut_here = {k for k, _ in cuts}
     whole = [k for k in range(len(texts)) if k not in cut_here]
     ids = [e.ids for e in tokenizer(path).encode_batch_fast(new + [texts[k] for k in whole], add_special_tokens=False)]
-    known.update(zip(new, ids))
+    known.update((w, array("I", x).tobytes()) for w, x in zip(new, ids))
     for k, c in cuts:
-        out[k] = list(chain.from_iterable(map(known.__getitem__, c)))
+        out[k] = np.frombuffer(b"".join(map(known.__getitem__, c)), np.uint32).tolist()
     for k, x in zip(whole, ids[len(new) :]):
         out[k] = x
     for word in new:
@@ -116,6 +116,11 @@ def decode(ids: list[int], path: str) -> bytes:
     return b"".join([table[i] for i in ids])
 
 
+@lru_cache(maxsize=4)
+def _decimals(path: str) -> list[str]:
+    return list(map(str, range(len(id_bytes(path)))))
+
+
 def char_offsets(data: bytes, ids: list[int], path: str) -> tuple[np.ndarray, int]:
     """The character in which each token begins, then the number of characters; and how many tokens begin inside one."""
     begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
@@ -147,10 +152,11 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
         for b in text_batches(batches):
             texts = b.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
+            decimals = _decimals(path)
             for text, ids in zip(texts, encode(texts, path)):
                 back = decode(ids, path)
                 starts, split = char_offsets(back, ids, path)
-                for column, x in zip(out, (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), int(starts[-1]), split)):
+                for column, x in zip(out, (len(ids), hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), int(starts[-1]), split)):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_characters", "n_split"])
 
