@@ -128,11 +128,11 @@ def _prepared(s: SparkSession, d: str, ablated: bool = False) -> DataFrame:
 
 
 def _starts() -> Column:
-    return spans.start_positions(F.col("src"), F.col("q"), F.col("last"))
+    return spans.start_positions(F.col("cand"), F.col("last"))
 
 
 def _count() -> Column:
-    return spans.count_alignments(F.col("src"), F.col("q")).cast("bigint")
+    return spans.count_alignments(F.col("cand")).cast("bigint")
 
 
 def _longs(df: DataFrame) -> DataFrame:

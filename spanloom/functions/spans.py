@@ -1,8 +1,8 @@
 """Alignment as expressions on one row: a source and a target as arrays of tokens, no shuffle and no Python.
 
-All functions take the array of source tokens ``src`` and, except ``steps``, the array of ``steps`` (the target's tokens that
-occur in the source, without neighbours that repeat). Positions count from 0. Pass columns, not long expressions: they are
-used more than once.
+``steps`` are the target's tokens that occur in the source, without neighbours that repeat; ``candidates`` are the source
+positions of each, and all answers are folds over these short lists. Positions count from 0. Pass columns, not long
+expressions: they are used more than once.
 """
 
 from __future__ import annotations
@@ -20,62 +20,58 @@ def steps(src: Column, target: Column) -> Column:
     return F.aggregate(there, F.slice(there, 1, 0), lambda a, x: F.when(F.try_element_at(a, F.lit(-1)) == x, a).otherwise(F.array_append(a, x)))
 
 
-def positions(src: Column, token: Column) -> Column:
-    return F.filter(F.transform(src, lambda x, i: F.when(x == token, i)), lambda i: i.isNotNull())
+def candidates(src: Column, q: Column) -> Column:
+    """For each step the source positions of its token, ascending."""
+    places = F.sequence(F.lit(0), F.size(src) - 1)
+    return F.when(F.size(q) > 0, F.transform(q, lambda t: F.filter(places, lambda i: F.get(src, i) == t))).otherwise(F.array().cast(f"array<{INTS}>"))
 
 
-def first_alignment(src: Column, q: Column) -> Column:
-    """Positions of the greedy leftmost embedding, which is the first alignment in order; null if there is none."""
-    start = F.struct(F.array().cast(INTS).alias("path"), F.lit(0).alias("at"))
+def _chain(cand: Column, pick, beyond, edge: int) -> Column:
+    """Takes a position of each list in turn, each beyond the one before; null if a list has none left."""
+    before = lambda a: F.when(F.size(a) == 0, F.lit(edge)).otherwise(F.try_element_at(a, F.lit(-1)))
+    step = lambda a, x: F.array_append(a, pick(F.filter(x, lambda p: beyond(p, before(a)))))
+    whole = lambda a: F.when(~F.exists(a, lambda p: p.isNull()), a)
+    return F.when(F.size(cand) > 0, F.aggregate(cand, F.array().cast(INTS), step, whole))
 
-    def step(state: Column, token: Column) -> Column:
-        rest = F.slice(src, state["at"] + 1, F.greatest(F.size(src) - state["at"], F.lit(0)))
-        hit = F.array_position(rest, token).cast("int")
-        at = state["at"] + hit
-        return F.when(state["at"] < 0, state).when(hit > 0, F.struct(F.array_append(state["path"], at - 1).alias("path"), at.alias("at"))).otherwise(F.struct(state["path"].alias("path"), F.lit(-1).alias("at")))
 
-    return F.when(F.size(q) > 0, F.aggregate(q, start, step, lambda s: F.when(s["at"] > 0, s["path"])))
+def first_alignment(cand: Column) -> Column:
+    """Positions of the greedy leftmost embedding, which is the first alignment in order; null if there is none."""
+    return _chain(cand, F.array_min, lambda p, b: p > b, -1)
 
 
-def last_alignment(src: Column, q: Column) -> Column:
+def last_alignment(cand: Column) -> Column:
     """Positions of the greedy rightmost embedding; null if there is none."""
-    n = F.size(src)
-    back = first_alignment(F.reverse(src), F.reverse(q))
-    return F.reverse(F.transform(back, lambda p: n - 1 - p))
-
-
-def count_alignments(src: Column, q: Column) -> Column:
-    """How many alignments there are, by a fold over the source; none is listed. Exact up to 38 digits, then null."""
-    wide = "decimal(38,0)"
-    zero = F.transform(q, lambda x: F.lit(0).cast(wide))
+    return F.reverse(_chain(F.reverse(cand), F.array_max, lambda p, b: p < b, 2**31 - 1))
 
-    def step(state: Column, token: Column) -> Column:
-        grown = lambda c, i: c + F.when(i == 0, F.lit(1).cast(wide)).otherwise(F.get(state, i - 1))
-        return F.transform(state, lambda c, i: F.when(F.get(q, i) == token, grown(c, i).cast(wide)).otherwise(c))
 
-    return F.when(F.size(q) > 0, F.get(F.aggregate(src, zero, step), F.size(q) - 1)).otherwise(F.lit(0).cast(wide))
+def count_alignments(cand: Column) -> Column:
+    """How many alignments there are: chains that end at each position, summed step by step; none is listed.
+    Exact up to 38 digits, then null."""
+    kind = "decimal(38,0)"
+    total = lambda ends: F.aggregate(ends, F.lit(0).cast(kind), lambda n, e: F.try_add(n, e["n"]).cast(kind))
+    start = F.array(F.struct(F.lit(-1).alias("p"), F.lit(1).cast(kind).alias("n")))
+    grow = lambda ends, x: F.transform(x, lambda p: F.struct(p.alias("p"), total(F.filter(ends, lambda e: e["p"] < p)).alias("n")))
+    return F.when(F.size(cand) > 0, F.aggregate(cand, start, grow, total)).otherwise(F.lit(0).cast(kind))
 
 
-def start_positions(src: Column, q: Column, last: Column | None = None) -> Column:
+def start_positions(cand: Column, last: Column) -> Column:
     """Positions at which some alignment starts: those of the first step up to where the rightmost embedding starts."""
-    latest = F.get(last_alignment(src, q) if last is None else last, 0)
-    return F.when(latest.isNull(), F.array().cast(INTS)).otherwise(F.filter(positions(src, F.get(q, 0)), lambda p: p <= latest))
+    return F.when(last.isNull(), F.array().cast(INTS)).otherwise(F.filter(F.get(cand, 0), lambda p: p <= F.get(last, 0)))
 
 
-def all_alignments(src: Column, q: Column, first: Column, last: Column) -> Column:
+def all_alignments(cand: Column, first: Column, last: Column) -> Column:
     """Every alignment as an array of positions, in order. Only positions between the neighbours in the leftmost and the
     rightmost embedding are tried, so no path is begun that cannot be finished and the work is in proportion to the result."""
     empty = F.array(F.array().cast(INTS))
 
-    def step(state: Column, token: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
         i = F.size(F.get(state, 0))
         after = F.when(i == 0, F.lit(-1)).otherwise(F.get(first, i - 1))
-        before = F.coalesce(F.get(last, i + 1), F.size(src))
-        open_ = F.filter(positions(src, token), lambda p: (p > after) & (p < before))
-        longer = lambda path: F.transform(F.filter(open_, lambda p: p > F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit(-1))), lambda p: F.array_append(path, p))
-        return F.flatten(F.transform(state, longer))
+        before = F.coalesce(F.get(last, i + 1), F.lit(2**31 - 1))
+        fits = lambda path, p: (p > after) & (p < before) & (p > F.coalesce(F.try_element_at(path, F.lit(-1)), F.lit(-1)))
+        return F.flatten(F.transform(state, lambda path: F.transform(F.filter(x, lambda p: fits(path, p)), lambda p: F.array_append(path, p))))
 
-    return F.when(first.isNull(), F.array().cast(f"array<{INTS}>")).otherwise(F.aggregate(q, empty, step))
+    return F.when(first.isNull(), F.array().cast(f"array<{INTS}>")).otherwise(F.aggregate(cand, empty, step))
 
 
 def token_starts(src: Column, lead: Column) -> Column:

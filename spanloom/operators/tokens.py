@@ -53,13 +53,42 @@ def subword_tokenizer(rank_path: str, pattern: str):
     def tokenize(texts: pd.Series) -> pd.Series:
         return texts.map(tokens_of)
 
-    tokenize.tokens_of = tokens_of
+    tokenize.tokens_of, tokenize.encoding = tokens_of, encoding
     return tokenize
 
 
 def subword_tokens(df: DataFrame, key: str, text: str, tokenizer) -> DataFrame:
-    """(key, pos, token, enc_token, start_idx, end_idx): subwords of the normalised text."""
-    return df.select(key, F.posexplode(tokenizer(norm_text(text))).alias("pos", "t")).select(key, "pos", "t.*")
+    """(key, pos, token, enc_token, start_idx, end_idx): subwords of the normalised text, made as Arrow columns."""
+    encoding = tokenizer.encoding
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        enc = encoding()
+        names = [enc.decode_single_token_bytes(i).decode("utf-8", "replace") if i in known else "" for known in [set(enc._mergeable_ranks.values())] for i in range(enc.max_token_value + 1)]
+        strings, sizes = pa.array(names, pa.string()), np.array([len(x) for x in names], np.int32)
+        for b in batches:
+            at, ids = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                if t:
+                    ids.append(np.asarray(enc.encode_to_numpy(t), np.int32))
+                    at.append(np.full(len(ids[-1]), k, np.int64))
+            if not ids:
+                continue
+            own, row = np.concatenate(ids), np.concatenate(at)
+            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            runs = np.diff(np.append(starts, len(row)))
+            ends = np.cumsum(sizes[own])
+            base = np.repeat(ends[starts] - sizes[own[starts]], runs)
+            pos = np.arange(len(row)) - np.repeat(starts, runs)
+            for c in range(0, len(row), 1 << 16):
+                s = slice(c, c + (1 << 16))
+                ints = [pa.array(x[s], pa.int32()) for x in (own, (ends - sizes[own] - base).astype(np.int32), (ends - base).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[s])), pa.array(pos[s], pa.int32()), strings.take(ints[0]), *ints], names=[key, "pos", "token", "enc_token", "start_idx", "end_idx"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, norm_text(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, pos int, token string, enc_token int, start_idx int, end_idx int")
 
 
 def tokenize(df: DataFrame, key: str, text: str, ttype: str = "token", tokenizer=None) -> DataFrame:

@@ -27,12 +27,12 @@ def pairs(spark: SparkSession, sf_dir: str, ablated: bool = False) -> DataFrame:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Pairs with normalised texts ``ns``, tokens ``src``, steps ``q``, and the first and last embedding."""
+    """Pairs with normalised texts ``ns``, tokens ``src``, steps ``q``, their candidates, and the first and last embedding."""
     out = df.withColumn("ns", text.norm_text("source"))
     out = out.withColumn("src", F.array_remove(F.split("ns", " "), "")).withColumn("_t", F.array_remove(F.split(text.norm_text("target"), " "), ""))
     out = out.withColumn("q", spans.steps(F.col("src"), F.col("_t")))
-    out = out.withColumn("first", spans.first_alignment(F.col("src"), F.col("q")))
-    return out.withColumn("last", spans.last_alignment(F.col("src"), F.col("q"))).drop("_t")
+    out = out.withColumn("cand", spans.candidates(F.col("src"), F.col("q")))
+    return out.withColumn("first", spans.first_alignment(F.col("cand"))).withColumn("last", spans.last_alignment(F.col("cand"))).drop("_t")
 
 
 def lead():

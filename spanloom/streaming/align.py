@@ -15,8 +15,8 @@ from spanloom.plans.fixture import prepared
 def align_stream(pairs: DataFrame) -> DataFrame:
     """(pairs' columns, n, first, starts, naive) of a batch or stream of (source, target)."""
     p = prepared(pairs)
-    src, q, last = F.col("src"), F.col("q"), F.col("last")
-    out = p.withColumn("n", spans.count_alignments(src, q)).withColumn("starts", spans.start_positions(src, q, last)).withColumn("naive", naive())
+    cand, last = F.col("cand"), F.col("last")
+    out = p.withColumn("n", spans.count_alignments(cand)).withColumn("starts", spans.start_positions(cand, last)).withColumn("naive", naive())
     return out.select(*pairs.columns, "n", "first", "starts", "naive")
 
 

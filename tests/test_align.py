@@ -48,8 +48,8 @@ def words(spark, rows):
 
 
 def test_all_forms_equal_brute_force(spark, rows, pairs):
-    src, q, first, last = (F.col(c) for c in ("src", "q", "first", "last"))
-    got = {r.pair_id: r for r in pairs.select("pair_id", "first", spans.all_alignments(src, q, first, last).alias("all"), spans.count_alignments(src, q).alias("n"), spans.start_positions(src, q, last).alias("starts")).collect()}
+    cand, first, last = (F.col(c) for c in ("cand", "first", "last"))
+    got = {r.pair_id: r for r in pairs.select("pair_id", "first", spans.all_alignments(cand, first, last).alias("all"), spans.count_alignments(cand).alias("n"), spans.start_positions(cand, last).alias("starts")).collect()}
     for i, (s, t) in words(spark, rows).items():
         want = brute(s, t)
         r = got[i]
@@ -78,7 +78,7 @@ def test_table_function_lists_the_same(spark, pairs):
 def test_large_counts_do_not_overflow(spark):
     n = 120
     df = prepared(spark.createDataFrame([(1, " ".join("ab" * n), " ".join("ab" * 20))], "pair_id long, source string, target string"))
-    got = df.select(spans.count_alignments(F.col("src"), F.col("q")).alias("n")).first().n
+    got = df.select(spans.count_alignments(F.col("cand")).alias("n")).first().n
     state = [0] * 40
     for c in "ab" * n:
         state = [s + ((1 if i == 0 else state[i - 1]) if "ab"[i % 2] == c else 0) for i, s in enumerate(state)]

@@ -57,6 +57,8 @@ def test_subwords_and_their_ablation(spark):
     df = spark.createDataFrame([(1, "Single-cell rnaseq identified Sox2-positive cells. <|endoftext|>"), (2, ""), (3, None)], "id long, text string")
     rows = tokens.tokenize(df, "id", "text", "token", bpe).orderBy("pos").collect()
     source = df.first().text
+    listed = df.select("id", F.explode(bpe(text.norm_text("text"))).alias("t")).select("t.*").collect()
+    assert [(r.token, r.enc_token, r.start_idx, r.end_idx) for r in rows] == [tuple(r) for r in listed]
     assert "".join(r.token for r in rows) == source and all(source[r.start_idx : r.end_idx] == r.token for r in rows)
     pairs = spark.createDataFrame([("a b c d e f", "00000000000a"), ("a", "00000000000b")], "t string, k string")
     got = pairs.select(dataset.ablate_subword(bpe)("t", "k").alias("a")).select("a.*").collect()
