@@ -90,7 +90,7 @@ RECORDS = LINES + """, off AS (SELECT *, CASE WHEN starts_with(source, ' ') THEN
 records AS (
   SELECT pair_id, kind, source, array_to_string(w[a:a + m - 1], ' ') AS target,
          CAST(lead + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS idx_start
-  FROM off, (VALUES (0, 3, 6), (1, 5, 1), (2, 2, 4)) AS k(kind, a, m)
+  FROM off, (VALUES (0::BIGINT, 3, 6), (1, 5, 1), (2, 2, 4)) AS k(kind, a, m)
 )"""
 NAIVE = RECORDS + ", naive AS (SELECT * FROM records WHERE instr(source, target) - 1 = idx_start)"
 DEDUP = NAIVE + ", dedup AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY source, target, idx_start ORDER BY pair_id, kind) AS rn FROM naive) WHERE rn = 1)"
@@ -157,6 +157,11 @@ def _first_tokens(df: DataFrame) -> DataFrame:
     return out.withColumn("tokens", render.token_objects(F.col("src"), F.col("starts_at"), F.col("first")))
 
 
+def _present(c: Column) -> Column:
+    """Only rows with a value. A filter would be pushed below the alignment, whose expressions would then be nested in it."""
+    return F.explode(F.filter(F.array(c), lambda x: x.isNotNull()))
+
+
 def scored(s: SparkSession, d: str) -> DataFrame:
     """Scores of our own method and of the first exact occurrence on the standard pairs."""
     p = _first_tokens(_prepared(s, d)).withColumn("starts", _starts())
@@ -386,17 +391,17 @@ TOK_OF_FIRST = BASE + """, ft AS (
 
 @query("reconstruct_by_token", with_(TOK_OF_FIRST, "SELECT pair_id, string_agg(tok, ' ' ORDER BY k) AS target FROM ft GROUP BY pair_id"))
 def _(s, d):
-    return _first_tokens(_prepared(s, d)).where("first is not null").select("pair_id", render.by_token(F.col("tokens"), " ").alias("target"))
+    return _first_tokens(_prepared(s, d)).select("pair_id", _present(render.by_token(F.col("tokens"), " ")).alias("target"))
 
 
 @query("reconstruct_by_idx", with_(TOK_OF_FIRST, "SELECT pair_id, string_agg(substr(ns, a + 1, z - a), '' ORDER BY k) AS target FROM ft GROUP BY pair_id"))
 def _(s, d):
-    return _first_tokens(_prepared(s, d)).where("first is not null").select("pair_id", render.by_index(F.col("ns"), F.col("tokens")).alias("target"))
+    return _first_tokens(_prepared(s, d)).select("pair_id", _present(render.by_index(F.col("ns"), F.col("tokens"))).alias("target"))
 
 
 @query("highlight_first", with_(TOK_OF_FIRST, "SELECT pair_id, string_agg(substr(ns, pz + 1, a - pz) || '[[' || tok || ']]', '' ORDER BY k) || substr(any_value(ns), max(z) + 1) AS marked FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY pair_id ORDER BY k), 0) AS pz FROM ft) GROUP BY pair_id"))
 def _(s, d):
-    return _first_tokens(_prepared(s, d)).where("first is not null").select("pair_id", render.highlight(F.col("ns"), F.col("tokens"), "[[", "]]").alias("marked"))
+    return _first_tokens(_prepared(s, d)).select("pair_id", _present(render.highlight(F.col("ns"), F.col("tokens"), "[[", "]]")).alias("marked"))
 
 
 @query("span_snippet", with_(PAIRS, "SELECT pair_id, substr(source, lo + 1, hi - lo) || chr(10) || repeat(' ', i - lo) || '^' AS snippet FROM (SELECT *, greatest(i - pad, 0) AS lo, least(i + length(target) + pad, length(source)) AS hi FROM (SELECT pair_id, source, target, instr(source, target) - 1 AS i, least(greatest(length(target), 30), 80) AS pad FROM pairs WHERE instr(source, target) > 0))"))
@@ -525,7 +530,7 @@ def _(s, d):
 # -------------------------------------------------------------------------------------------------------------- evaluation
 
 
-@query("set_ops_starts", with_(SCORED, "SELECT pair_id, CASE WHEN custom_found THEN 0 ELSE 1 END AS custom_l, CASE WHEN custom_found THEN 1 ELSE 0 END AS custom_x, len(list_filter(custom_starts, lambda x: x <> gold)) AS custom_r, array_to_string(list_filter(custom_starts, lambda x: x <> gold), ',') AS custom_rv, custom_found FROM scored"))
+@query("set_ops_starts", with_(SCORED, "SELECT pair_id, CAST(NOT custom_found AS BIGINT) AS custom_l, CAST(custom_found AS BIGINT) AS custom_x, len(list_filter(custom_starts, lambda x: x <> gold)) AS custom_r, array_to_string(list_filter(custom_starts, lambda x: x <> gold), ',') AS custom_rv, custom_found FROM scored"))
 def _(s, d):
     out = evaluate.set_operations(scored(s, d).withColumn("real", F.array("gold")).drop("custom_found"), "real", "custom_starts", "custom")
     return out.select("pair_id", *[F.col(f"custom_{x}").cast("bigint").alias(f"custom_{x}") for x in "lxr"], _text("custom_rv").alias("custom_rv"), "custom_found")
