@@ -649,3 +649,81 @@ def _(s, d):
 @query("power_law_grid", f"WITH {XY}, {FIT} SELECT k, round(x, 3) AS x, round(a * pow(x, b), 3) AS y FROM (SELECT *, pow(10, log10(x_min) + k * (log10(x_max) - log10(x_min)) / 499) AS x FROM fit, (SELECT unnest(range(500)) AS k))")
 def _(s, d):
     return _longs(_rounded(evaluate.power_grid(evaluate.power_law(_xy(s, d), "x", "y"), 500), 3))
+
+
+# ------------------------------------------------------------------------------------------------------------ further forms
+
+
+@query("token_strings", with_(PAIRS + ", " + NORM, "SELECT pair_id, array_to_string(src, '|') AS tokens FROM norm"))
+def _(s, d):
+    structs = F.transform(text.words(text.norm_text("source")), lambda w: F.struct(w.alias("token")))
+    return fixture.pairs(s, d).select("pair_id", F.array_join(tokens.token_strings(structs), "|").alias("tokens"))
+
+
+@query("ngram_graph_k1", with_(PAIRS.replace("BETWEEN 8 AND 400", "BETWEEN 8 AND 12") + ", " + NORM + ", " + TOKENS + ", u AS (SELECT pair_id, dense_rank() OVER (PARTITION BY pair_id ORDER BY fp) - 1 AS id FROM (SELECT pair_id, tok, min(pos) AS fp FROM s GROUP BY pair_id, tok))", "SELECT a.pair_id, a.id AS src_id, b.id AS dst_id FROM u a JOIN u b ON a.pair_id = b.pair_id AND a.id <> b.id"))
+def _(s, d):
+    short = fixture.pairs(s, d).where(text.word_count("source") <= 12)
+    return _longs(tokens.overlap_graph(tokens.ngram_index(tokens.whitespace_tokens(short, "pair_id", "source"), "pair_id", 1), "pair_id", 1))
+
+
+@query("kgram_alignment_tokens", with_(_ngram_sql(2), "SELECT pair_id, string_agg(CASE WHEN pos = 0 THEN ngram ELSE split_part(ngram, ' ', 2) END, ' ' ORDER BY pos) AS tokens FROM gi WHERE pos IN (0, 2, 5) GROUP BY pair_id"))
+def _(s, d):
+    paths = fixture.pairs(s, d).select("pair_id", F.lit(0).alias("alignment_id"), F.array(*map(F.lit, (0, 2, 5))).alias("path"))
+    return align.group_tokens(_index(s, d, 2), paths, "pair_id", 2).select("pair_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("highlight_all", with_(ALL + """, av AS (
+  SELECT a.pair_id, a.alignment_id, x.k, s.tok, s.start_idx AS a, s.start_idx + length(s.tok) AS z, norm.ns FROM aln a, unnest(a.path) WITH ORDINALITY AS x(p, k) JOIN s ON s.pair_id = a.pair_id AND s.pos = x.p JOIN norm ON norm.pair_id = a.pair_id
+), m AS (
+  SELECT pair_id, alignment_id, string_agg(substr(ns, pz + 1, a - pz) || '[[' || tok || ']]', '' ORDER BY k) || substr(any_value(ns), max(z) + 1) AS marked
+  FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY pair_id, alignment_id ORDER BY k), 0) AS pz FROM av) GROUP BY pair_id, alignment_id
+)""", "SELECT pair_id, string_agg(marked, '' ORDER BY alignment_id) AS marked FROM m GROUP BY pair_id"))
+def _(s, d):
+    p = _prepared(s, d).withColumn("at", spans.token_starts(F.col("src"), fixture.lead()))
+    each = p.select("pair_id", "ns", "src", "at", F.posexplode(spans.all_alignments(F.col("cand"), F.col("first"), F.col("last"))).alias("alignment_id", "path"))
+    marked = each.select("pair_id", "alignment_id", render.highlight(F.col("ns"), render.token_objects(F.col("src"), F.col("at"), F.col("path")), "[[", "]]").alias("marked"))
+    return render.concatenated(marked, "pair_id", "marked", "alignment_id")
+
+
+@query("alignments_json", with_(ALL, "SELECT a.pair_id, a.alignment_id, string_agg(s.tok || '@' || s.start_idx, ' ' ORDER BY x.k) AS tokens FROM aln a, unnest(a.path) WITH ORDINALITY AS x(p, k) JOIN s ON s.pair_id = a.pair_id AND s.pos = x.p GROUP BY a.pair_id, a.alignment_id"))
+def _(s, d):
+    """Alignments written as JSON and parsed again."""
+    p = _prepared(s, d).withColumn("at", spans.token_starts(F.col("src"), fixture.lead()))
+    each = p.select("pair_id", "src", "at", F.posexplode(spans.all_alignments(F.col("cand"), F.col("first"), F.col("last"))).alias("alignment_id", "path"))
+    out = each.select("pair_id", "alignment_id", F.to_json(render.token_objects(F.col("src"), F.col("at"), F.col("path"))).alias("json"))
+    back = F.from_json("json", "array<struct<token:string,enc_token:string,start_idx:int,end_idx:int>>")
+    return _longs(out.select("pair_id", "alignment_id", F.array_join(F.transform(back, lambda t: F.concat(t["token"], F.lit("@"), t["start_idx"].cast("string"))), " ").alias("tokens")))
+
+
+@query("largest_multimaps", with_(BASE, "SELECT pair_id, n FROM base ORDER BY n DESC, pair_id LIMIT 20"))
+def _(s, d):
+    return _prepared(s, d).select("pair_id", _count().alias("n")).orderBy(F.desc("n"), "pair_id").limit(20)
+
+
+@query("distinct_tokens", with_(PAIRS + ", " + NORM, "SELECT pair_id, len(list_distinct(src)) AS n_distinct, len(src) AS n FROM norm"))
+def _(s, d):
+    src = text.words(text.norm_text("source"))
+    return _longs(fixture.pairs(s, d).select("pair_id", F.size(F.array_distinct(src)).alias("n_distinct"), F.size(src).alias("n")))
+
+
+@query("sources_in_both_splits", with_(PAIRS, "SELECT source FROM pairs WHERE pair_id % 5 <> 0 INTERSECT SELECT source FROM pairs WHERE pair_id % 5 = 0"))
+def _(s, d):
+    p = fixture.pairs(s, d)
+    return p.where("pair_id % 5 <> 0").select("source").intersect(p.where("pair_id % 5 = 0").select("source"))
+
+
+@query("sources_in_train_only", with_(PAIRS, "SELECT source FROM pairs WHERE pair_id % 5 <> 0 EXCEPT SELECT source FROM pairs WHERE pair_id % 5 = 0"))
+def _(s, d):
+    p = fixture.pairs(s, d)
+    return p.where("pair_id % 5 <> 0").select("source").subtract(p.where("pair_id % 5 = 0").select("source"))
+
+
+@query("pair_summary_ablated", ORACLE_SQL["pair_summary"].replace(PAIRS, ABLATED))
+def _(s, d):
+    return _rounded(evaluate.pair_summary(_prepared(s, d, True).withColumn("n", _count()), "n"))
+
+
+@query("frame_shapes", with_(SHIFTED, "SELECT count(*) AS n_rows, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets FROM (SELECT source, target FROM shifted GROUP BY source, target)"))
+def _(s, d):
+    frame = dataset.group_starts(dataset.shift(_clean(s, d)))
+    return frame.agg(F.count("*").alias("n_rows"), F.count_distinct("source").alias("n_sources"), F.count_distinct("target").alias("n_targets"))
