@@ -188,7 +188,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def only_kept(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass. The verdict is exploded rather than filtered on: a filter would be pushed below the
     statistics and compute them twice."""
-    return judge(docs, rules).select(*docs.columns, F.explode(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_kept")).drop("_kept")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # columns of docs may have the names of statistics
+    return judge(rows, rules).select("_row", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select("_row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
