@@ -180,15 +180,17 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     for turn in range(1, 64):
         # large-star: every larger neighbour of a node is hung on the smallest neighbour
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # the least of each node is written before the join: a side with an exchange of its own lets Spark split a hub
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = scratch.keep(large, "large")
         # small-star: the smaller neighbours of a node and the node itself are hung on the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(low.select("hi", F.col("m").alias("lo"))).distinct()
         name = f"stars{turn}"
         stars = scratch.keep(small, name)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        scratch.drop(f"stars{turn - 1}")
+        scratch.drop(f"stars{turn - 1}", "least", "large")
         if now == state:
             break
         state = now
