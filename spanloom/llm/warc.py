@@ -122,8 +122,11 @@ def resolve(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("_sha1"), F.octet_length("payload").alias("_size"))
+    scratch = Scratch(pages.sparkSession, "pages")
     keys = rows.where(F.col("_size") >= least).select("page_id", "_sha1", "_size")
     first = keys.groupBy("_sha1", "_size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("refers_to <> _last")
+    # written before the join, so that Spark can split a digest that very many pages have
+    first = scratch.keep(first, "first")
     again = keys.join(first, ["_sha1", "_size"]).where("page_id <> refers_to").select("page_id", "_sha1", "refers_to").distinct()
     return rows.join(again, ["page_id", "_sha1"], "left").select("page_id", "url", "payload", "refers_to")
 
