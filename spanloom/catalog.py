@@ -374,12 +374,15 @@ def _(s, d):
 def _(s, d):
     items = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     w = text.words("text")
-    # rows that may contain a passage share its first eight words somewhere: an equi-join, then the exact test
-    items = items.withColumn("key", F.array_join(F.slice(text.words("passage"), 2, 4), " "))
+    # a text that contains a passage has its second to fifth word (its first and last may be parts of words there): an
+    # equi-join on these, then the exact test; passages of fewer than six words are few and tested against every text
+    items = items.withColumn("n", text.word_count("passage")).withColumn("key", F.array_join(F.slice(text.words("passage"), 2, 4), " "))
     grams = _docs(s, d).select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    hits = grams.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    full = hits.join(items.select("item_id", "passage"), "item_id").join(_docs(s, d).select("doc_id", "text"), "doc_id")
-    return full.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id", text.find("text", "passage").cast("bigint").alias("start_idx"))
+    hits = grams.join(items.where("n >= 6").select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    full = hits.join(items.select("item_id", "passage"), "item_id").join(_docs(s, d).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    short = items.where("n < 6").select("item_id", "passage")
+    rest = _docs(s, d).select("doc_id", "text").join(short, F.contains("text", F.col("passage")))
+    return full.unionByName(rest.select(*full.columns)).select("doc_id", "item_id", text.find("text", "passage").cast("bigint").alias("start_idx"))
 
 
 # --------------------------------------------------------------------------------------------------------------- rendering
