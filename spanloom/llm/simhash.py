@@ -273,7 +273,7 @@ def copies(docs: DataFrame, shingle: int = 5, words: int = 8, share: float = 0.1
 
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     fps = scratch.keep(rows.mapInArrow(fingerprint_all, f"doc_id {kind}, fp binary"), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"))
 
     def met(batches):
         rest = None
@@ -298,7 +298,9 @@ def copies(docs: DataFrame, shingle: int = 5, words: int = 8, share: float = 0.1
     dealt = distinct.select("node", "fp", F.explode(F.array(*blocks)).alias("key"))
     found = dealt.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", "fp").mapInArrow(met, "node bigint, root bigint")
     roots = components(found, scratch, "node", "root")
-    classes = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # only classes that lose a document, written so that the join has an exchange of its own on this side and can split a class
+    classes = distinct.join(roots, "node", "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "node").alias("component_id"))
+    classes = scratch.keep(classes, "classes")
     return fps.join(classes, "fp").where("doc_id <> component_id").select("doc_id", "component_id")
 
 
