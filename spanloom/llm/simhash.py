@@ -13,6 +13,7 @@ separate rows; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -230,7 +231,7 @@ def wide_fingerprint(text: str | None, shingle: int = 5, words: int = 8) -> byte
 
 
 def _met(table, key, limit: int):
-    """Links between rows of one key of (t, key, node, fp) columns, reduced to (node, root) stars."""
+    """Pairs (a, b) of rows of one key of (t, key, node, fp) columns that differ in at most ``limit`` bits."""
     fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
     node = table.column("node").to_numpy()
     bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -246,18 +247,47 @@ def _met(table, key, limit: int):
         live = live[live + step < end[live]]
     if not left:
         return None
-    a, b = np.concatenate(left), np.concatenate(right)
-    nodes, at = np.unique(np.concatenate((node[a], node[b])), return_inverse=True)
-    root = labels(len(nodes), at[: len(a)], at[len(a) :])
-    linked = root != np.arange(len(root))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["node", "root"])
+    return pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(left)]), pa.array(node[np.concatenate(right)])], names=["a", "b"])
 
 
-def copies(docs: DataFrame, shingle: int = 5, words: int = 8, share: float = 0.19, block: int = 2) -> DataFrame:
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted; a text of fewer words, or none, is one shingle."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(parts) < shingle:
+        return np.array([xxh64_intdigest(b" ".join(parts), 42)], np.uint64)
+    total, out = len(parts) - shingle + 1, []
+    for at in range(0, total, SLAB):
+        part = parts[at : at + SLAB + shingle - 1]
+        out.append(np.unique(np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(part[i:] for i in range(shingle)))), repeat(42)), np.uint64)))
+    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
+
+
+def similar(one: np.ndarray, two: np.ndarray, percent: int = 80) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return (100 + percent) * both >= percent * (len(one) + len(two))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs``, ids of (doc_id, text) ``rows``, whose texts are similar by their whole shingle sets."""
+
+    def check(batches):
+        sets = lru_cache(256)(lambda text: shingle_set(text, shingle))
+        for x in batches:
+            ok = [similar(sets(one), sets(two), percent) for one, two in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
+            yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    ids = F.col("doc_id").cast("bigint")
+    both = pairs.join(rows.select(ids.alias("a"), F.col("text").alias("one")), "a").join(rows.select(ids.alias("b"), F.col("text").alias("two")), "b")
+    return both.select("a", "b", "one", "two").mapInArrow(check, "a bigint, b bigint")
+
+
+def copies(docs: DataFrame, shingle: int = 5, words: int = 8, share: float = 0.19, block: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, component_id) of the documents that are not the smallest of their near-duplicate component.
 
-    For shingle sets of Jaccard similarity s about arccos(2 s / (1 + s)) / pi of the bits differ, 0.15 of them at 0.8; links
-    differ in at most ``share``, which leaves room for the spread of that estimate. A guarantee by pigeonhole would
+    For shingle sets of Jaccard similarity s about arccos(2 s / (1 + s)) / pi of the bits differ, 0.15 of them at 0.8; candidates
+    differ in at most ``share``, which leaves room for the spread of that estimate. Only those whose shingle sets have a similarity
+    of at least ``percent`` in a hundred are linked. A guarantee by pigeonhole would
     need blocks of five bits at this distance; blocks of ``block`` bytes are met instead, side by side and half as many again
     across their borders, of which a pair at 0.8 shares one with probability about 0.96 and one at 0.9 with over 0.99.
     Rows without an id take no part.
@@ -296,8 +326,8 @@ def copies(docs: DataFrame, shingle: int = 5, words: int = 8, share: float = 0.1
     blocks = [F.conv(F.hex(F.substring("fp", at + 1, block)), 16, 10).cast("bigint") * 65536 + at for at in starts]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.select("node", "fp", F.explode(F.array(*blocks)).alias("key"))
-    found = dealt.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", "fp").mapInArrow(met, "node bigint, root bigint")
-    roots = components(found, scratch, "node", "root")
+    found = dealt.repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "node", "fp").mapInArrow(met, "a bigint, b bigint")
+    roots = components(verified(found.distinct(), rows, shingle, percent), scratch)
     # only classes that lose a document, written so that the join has an exchange of its own on this side and can split a class
     classes = distinct.join(roots, "node", "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "node").alias("component_id"))
     classes = scratch.keep(classes, "classes")
