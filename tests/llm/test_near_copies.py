@@ -32,3 +32,40 @@ def test_pairs_below_the_bound_all_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.copies(df).count() == 0
     assert simhash.drop_copies(df).count() == len(rows)
+
+
+def test_all_pairs_at_the_bound_are_linked(spark):
+    rows = planted(0.80, 0.85, 200, 300, 4)
+    gone = {x.doc_id: x.component_id for x in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {i: i - 1 for i in range(1, len(rows), 2)}
+
+
+def test_components_against_all_pairs(spark):
+    """Short and long texts, groups of over MANY near copies whose links are chains, and a line that most texts share."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    texts = ["", None, "one", "ONE", "one two three", " ".join(["x"] * 30), " ".join(["x"] * 50)]
+    for size, edits, many in ((100, 1, 150), (200, 2, 150), (400, 4, 60)):
+        base = [word() for _ in range(size)]
+        for _ in range(many):
+            for _ in range(edits):
+                base[r.randrange(size)] = word()
+            one = list(r.choice((base, base[: size - size // 8])))
+            for _ in range(r.randrange(edits)):
+                one[r.randrange(len(one))] = word()
+            texts.append(" ".join(one))
+    line = " ".join(word() for _ in range(20))
+    texts += [line + " " + " ".join(word() for _ in range(r.choice((3, 5, 8, 40)))) for _ in range(150)]
+    r.shuffle(texts)
+    sets = [shingles(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 9 * both >= 4 * (len(a) + len(sets[j])) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    want = {i: x for i, x in enumerate(root) if i != x}
+    rows = list(enumerate(texts))
+    gone = {x.doc_id: x.component_id for x in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == want and len(want) > 100
