@@ -6,7 +6,10 @@ fewest ids so far (the most room) that still takes it, and equal packs are one p
 for a length takes a run of that length's pieces by rank. Ranks come from one range shuffle of the small piece rows (never
 the texts) and the counts of each range, so a length that a third of all pieces share is spread over many tasks.
 
-A null or empty text has the closing id alone. Repeated rows are packed as rows of their own. An empty table gives no rows.
+A null or empty text has the closing id alone. Repeated rows are packed as rows of their own; rows that tie in length, id and
+start may take each other's places, which leaves the set of sequences as it is. A null id is packed like any other. An empty
+table gives no rows; columns other than the id and the text are not read, whatever their names. Strings of added tokens in a
+text become those tokens, as in the plain library.
 """
 
 from __future__ import annotations
@@ -38,9 +41,25 @@ def _slow(json_path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(json_path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(maxsize=2)
+def _added(json_path: str) -> tuple[bytes, ...]:
+    """The strings of the vocabulary's added tokens, which the library finds in a text before it cuts the rest."""
+    return tuple(sorted({t.content.encode() for t in _slow(json_path).get_added_tokens_decoder().values()} - {b""}))
+
+
+def _marked(data: np.ndarray, offsets: np.ndarray, strings: tuple[bytes, ...]) -> np.ndarray:
+    """Which texts hold one of the strings; one that straddles two texts only marks a text too many."""
+    out, raw = np.zeros(len(offsets) - 1, bool), data.tobytes()
+    for s in strings:
+        at = raw.find(s)
+        while at >= 0:
+            k = int(np.searchsorted(offsets, at, side="right")) - 1
+            out[k] = True
+            at = raw.find(s, int(offsets[k + 1]))
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -52,8 +71,9 @@ def _fast(rank_path: str):
 
 
 def encode_all(column: pa.Array, json_path: str, rank_path: str | None):
-    """The ids of each text. With ``rank_path``, the ranks of the same vocabulary, texts of common characters and no very
-    long run take the faster of two libraries that agree on them."""
+    """The ids of each text, as the ``tokenizers`` file gives them without a template. With ``rank_path``, the ranks of the
+    same vocabulary, texts of common characters, no very long run and no added token's string take the faster of two
+    libraries that agree on them."""
     texts = column.to_pylist()
     data, offsets = text_buffer(column)
     turns = np.flatnonzero(np.diff((data <= 32).astype(np.int8))) + 1 if len(data) else np.zeros(0, np.int64)
@@ -62,8 +82,10 @@ def encode_all(column: pa.Array, json_path: str, rank_path: str | None):
     for k in np.flatnonzero(np.diff(edges) > RUN):  # the run may go on over the ends of texts
         a, z = np.searchsorted(offsets, (edges[k], edges[k + 1]), side="right")
         has_long[a - 1 : z] = True
-    for text, is_long in zip(texts, has_long):
-        if rank_path and not is_long and (text.isascii() or not COMMON.search(text)):
+    if rank_path:
+        has_long |= _marked(data, offsets, _added(json_path))
+    for text, other in zip(texts, has_long):
+        if rank_path and not other and (text.isascii() or not COMMON.search(text)):
             yield np.asarray(_fast(rank_path).encode_to_numpy(text), "<u4")
         else:
             yield np.array(_slow(json_path).encode(text, add_special_tokens=False).ids, "<u4")

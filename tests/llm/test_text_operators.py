@@ -170,7 +170,6 @@ def test_gradient_of_the_network():
 
 def test_packing_is_whole_and_tight(docs, texts):
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     rows = [r.asDict() for r in packing.pack(docs, JSON, RANKS).collect()]
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -196,6 +195,53 @@ def test_packing_is_whole_and_tight(docs, texts):
     assert packing.pack(docs.limit(0), JSON, RANKS).count() == 0
 
 
+def test_special_strings_become_their_tokens():
+    """The plain library finds the strings of added tokens in a text; the faster path must not see such texts."""
+    import pyarrow as pa
+
+    texts = ["a <|endoftext|> b", "a <|endoftext| > b", "plain", "", "x<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof", "text|>"]
+    want = [Tokenizer.from_file(JSON).encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for ranks in (RANKS, None):
+        assert [x.tolist() for x in packing.encode_all(pa.array(texts), JSON, ranks)] == want
+
+
+def simple_shortest_pack_first(lengths, size):
+    """Fill of each pack when lengths are placed one by one, longest first, into the fullest pack that takes them."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        fit = [k for k, used in enumerate(packs) if used + x <= size]
+        if fit:
+            packs[max(fit, key=lambda k: size - packs[k])] += x
+        else:
+            packs.append(x)
+    return packs
+
+
+def test_sequences_against_the_patterns(spark):
+    """Each sequence holds the lengths of one pattern, in the pattern's order, and each pattern occurs as often as counted."""
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, "the " * r.choice((3, 50, 300, 700, 1023, 2100)) + "x" * r.randint(0, 9)) for i in range(300)] + [(7, "the end"), (7, "the end")], "doc_id long, text string")
+    rows = packing.pack(docs, JSON, RANKS).collect()
+    table = collections.defaultdict(list)
+    for x in rows:
+        table[x.sequence_id].append((x.offset, x.length))
+    patterns = packing.shortest_pack_first(collections.Counter(x.length for x in rows), 1024)
+    got = collections.Counter(tuple(n for _, n in sorted(v)) for v in table.values())
+    want = collections.Counter()
+    for n, p in patterns:
+        want[tuple(p)] += n
+    assert got == want and sorted(table) == list(range(len(table)))
+    for v in table.values():
+        ends = 0
+        for at, n in sorted(v):
+            assert at == ends
+            ends += n
+    # no worse than placing every length by itself into the pack with the most room, nor than 1.05 of the ideal
+    one_by_one = simple_shortest_pack_first([x.length for x in rows], 1024)
+    assert len(table) <= 1.05 * len(one_by_one)
+
+
 def test_shortest_pack_first_places_every_length():
     r = random.Random(9)
     for _ in range(50):
