@@ -14,7 +14,7 @@ separate rows; columns other than the id and the text are not read.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations, repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +180,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     """(node, root): the smallest node of the component of every node that has an edge; edges are (a, b) of one type."""
     stars = scratch.keep(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "stars0")
     state = None
-    for turn in range(1, 64):
+    for turn in count(1):  # until nothing changes; a chain of n nodes takes about log2(n) turns
         # large-star: every larger neighbour of a node is hung on the smallest neighbour
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         # the least of each node is written before the join: a side with an exchange of its own lets Spark split a hub
@@ -200,10 +200,23 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id): the component is named by its smallest doc_id."""
+def blocks_for(n: int, distance: int, load: int = 16) -> int:
+    """Runs to cut fingerprints into, so that of ``n`` spread ones at most ``load`` are expected under one key.
+
+    More runs make longer keys, of ``blocks - distance`` runs each, and more of them."""
+    blocks = distance + 2
+    while blocks < 2 * distance + 3 and n > load << BITS * (blocks - distance) // blocks:
+        blocks += 1
+    return blocks
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): the component is named by its smallest doc_id.
+
+    ``blocks`` follows the number of distinct fingerprints unless it is given."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, shingle), "fps")
+    blocks = blocks or blocks_for(fps.select("fp").distinct().count(), distance)
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     edges = links(fps.select("fp").distinct(), distance, blocks).withColumnsRenamed({"fp": "a", "root": "b"})
     roots = components(edges, scratch)
