@@ -7,9 +7,12 @@ about ``bundle`` bytes before compression, so one is made and read in bounded me
 
 Bundles are rows of a table (bundle, data, index), which any shared store keeps whole if an executor is lost. Of records
 with equal payloads of at least ``least`` bytes the one with the smallest page_id is the response and the rest are revisits
-that name it; the equal ones are found by an aggregate over (digest, length) that combines before it shuffles, never by a
-group of payloads. A null html is the empty payload. Rows that repeat a page_id with the same payload are each written, with
-the same type. A null url is written as the record's own identifier; control characters and blanks in it are escaped.
+that name it; the equal ones are found by an aggregate over (SHA-256, SHA-1, length) that combines before it shuffles, never by a
+group of payloads, so payloads made to collide in the digest that WARC reports are still kept apart. A null html is the empty
+payload. Rows that repeat a page_id with the same payload are each written, with the same type. A row without a page_id counts
+as later than all others: it is a revisit where a row with an id has its payload, else a response. A null url is written as the
+record's own identifier; control characters and blanks in it are escaped. An empty table gives no bundles and no rows; columns
+other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,18 +120,20 @@ class Reader:
         return self.frame(frame)[offset : offset + length]
 
 
-def resolve(pages: DataFrame, least: int = 0) -> DataFrame:
+def resolve(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     """``pages`` as (page_id, url, payload, refers_to): the page of which each is a revisit, else null."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.select("*", F.sha1("payload").alias("_sha1"), F.octet_length("payload").alias("_size"))
-    scratch = Scratch(pages.sparkSession, "pages")
-    keys = rows.where(F.col("_size") >= least).select("page_id", "_sha1", "_size")
-    first = keys.groupBy("_sha1", "_size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("refers_to <> _last")
+    # one key of all that makes two payloads equal; only these few bytes of a page are aggregated
+    key = F.unhex(F.concat(F.sha2("payload", 256), F.sha1("payload"), F.lpad(F.hex(F.octet_length("payload")), 16, "0")))
+    rows = rows.select("*", key.alias("_key"))
+    keys = rows.where(F.octet_length("payload") >= least).select("page_id", "_key")
+    same = keys.groupBy("_key").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last"), F.count("*").alias("_n"), F.count("page_id").alias("_ids"))
     # written before the join, so that Spark can split a digest that very many pages have
-    first = scratch.keep(first, "first")
-    again = keys.join(first, ["_sha1", "_size"]).where("page_id <> refers_to").select("page_id", "_sha1", "refers_to").distinct()
-    return rows.join(again, ["page_id", "_sha1"], "left").select("page_id", "url", "payload", "refers_to")
+    first = scratch.keep(same.where("refers_to <> _last or (_ids > 0 and _ids < _n)").select("_key", "refers_to"), "first")
+    again = keys.join(first, "_key").where("page_id is null or page_id <> refers_to").distinct()
+    again = again.select(F.col("page_id").alias("_page"), F.col("_key").alias("_again"), "refers_to")
+    return rows.join(again, rows["page_id"].eqNullSafe(F.col("_page")) & (F.col("_key") == F.col("_again")), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def bundles(resolved: DataFrame, frame: int = 256 << 10, bundle: int = 16 << 20, level: int = 3) -> DataFrame:
@@ -195,7 +200,9 @@ def read(archive: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, least: int = 0, **sizes: int) -> DataFrame:
     """The bundles of ``pages``, written to the shared folder."""
     scratch = Scratch(pages.sparkSession, "warc")
-    return scratch.keep(bundles(resolve(pages, least), **sizes), "bundles")
+    made = scratch.keep(bundles(resolve(pages, scratch, least), **sizes), "bundles")
+    scratch.drop("first")
+    return made
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:

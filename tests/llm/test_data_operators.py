@@ -25,8 +25,8 @@ def test_topk_against_brute_force(spark, monkeypatch):
             scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(a) == len(b))[:10]
             want |= {(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)}
     asked = df.where("vec_id % 100 = 0")
-    for block in (2048, 2):
-        got = topk.search(df, asked, block=block, tile=64).collect()
+    for tile, shard_rows in ((64, 1 << 16), (2, 10), (1024, 50)):
+        got = topk.search(df, asked, tile=tile, shard_rows=shard_rows, fan=3).collect()
         assert {tuple(x) for x in got} == want and len(got) == len(want)
     assert topk.search(df, asked.limit(0)).count() == 0
 
@@ -34,7 +34,26 @@ def test_topk_against_brute_force(spark, monkeypatch):
 def test_products_stay_exact_when_large():
     a = np.array([[2.0**40, 3.0]])
     assert topk.products(a, np.array([[2.0**20, 5.0]]))[0, 0] == 2**60 + 15
-    assert topk.products(a, np.array([[2.0**50, 5.0]]))[0, 0] == 2**63 - 1
+    assert topk.products(a, np.array([[2.0**50, 5.0]]))[0, 0] == 2**90 + 15
+
+
+def test_scores_beyond_64_bits_keep_their_order(spark):
+    """Reported at the end of the range, ranked by their exact value; below zero too, and next to small ones."""
+    big = 2.0**60
+    rows = [(0, [big, 1.0]), (1, [1.0, 0.0]), (2, [big, 0.0]), (3, [2 * big, 0.0]), (4, [-big, 0.0]), (5, [-2 * big, 0.0]), (6, [0.0, 1.0]), (7, [2 * big, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r.vec_id, r.score) for r in topk.search(df, df.where("vec_id = 0"), tile=2).orderBy("rank").collect()]
+    exact = {i: sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, rows[0][1])) for i, v in rows[1:]}
+    assert [i for i, _ in got] == sorted(exact, key=lambda i: (-exact[i], i)) == [3, 7, 2, 1, 6, 4, 5]
+    assert all(s == min(max(exact[i], -(2**63)), 2**63 - 1) for i, s in got)
+
+
+def test_a_query_whose_id_has_an_invalid_row_too(spark):
+    for odd in (None, float("-inf"), float("nan")):
+        rows = [(0, [1.0, 2.0]), (0, [odd, 2.0]), (0, [odd, -9.0]), (1, [1.0, 1.0]), (2, [3.0, 1.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = [tuple(r) for r in topk.search(df, df.where("vec_id % 100 = 0")).collect()]
+        assert sorted(got) == [(0, 1, 2, 5 << 20), (0, 2, 1, 3 << 20)]
 
 
 def test_languages_held_out(spark):
@@ -73,6 +92,20 @@ def pages(spark):
     return spark.createDataFrame([(*x, 0) for x in rows], "page_id long, url string, html string, refers_to int").repartition(6)
 
 
+def test_payloads_of_one_sha1_stay_apart(pages, monkeypatch):
+    """A stand-in for colliding payloads: with one SHA-1 for all, equal ones are still told by SHA-256 and length."""
+    from pyspark.sql import functions as F
+
+    from spanloom.tables import Scratch
+
+    monkeypatch.setattr(warc.F, "sha1", lambda c: F.lit("00" * 20))
+    spark = pages.sparkSession
+    rows = [(1, "u", "aa"), (2, "u", "bb"), (3, "u", "aa"), (None, "u", "bb"), (None, "u", "cc"), (None, "u", "cc"), (None, None, None)]
+    got = warc.resolve(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t")).collect()
+    key = lambda r: (r.page_id or 0, bytes(r.payload), r.refers_to)
+    assert sorted(map(key, got), key=str) == sorted([(1, b"aa", None), (2, b"bb", None), (3, b"aa", 1), (0, b"bb", 2), (0, b"cc", None), (0, b"cc", None), (0, b"", None)], key=str)
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_warc_round_trip(pages, least):
     made = warc.archive(pages.drop("refers_to"), least, frame=4 << 10, bundle=64 << 10)
