@@ -7,16 +7,18 @@ a text of n symbols has about 2 n / (window - gram) anchors. The steps:
 1. Documents are dealt into chunks by a hash of the id and the text; a chunk sends each of its anchors' hashes once to a bucket.
 2. A bucket tells each chunk which of its anchors occur in two documents or more, and which in more than ``hot``.
 3. A chunk sends the strings around the shared anchors to the bucket of the anchor: each run of strings with one anchor
-   as one piece of text, so that strings which may be equal meet in one bucket. What repeats within the chunk is settled
-   there, and one copy stands for all of it. A hot anchor's strings are sent one by one to the bucket of their own hash, so a
-   passage that any share of all documents holds is spread out.
+   as one piece of text, so that strings which may be equal meet in one bucket. A hot anchor's strings are first resolved
+   within the chunk, by the same method, and those that are left sent one by one to the bucket of their own hash: a passage
+   that any share of all documents holds reaches a bucket once from each chunk, and its strings reach many buckets.
 4. A bucket decides exactly which strings also start in a document with a smaller id (by suffix sorting or suffix trees).
+   Its pieces lie in files of the task, never in memory as a whole.
 5. A chunk removes what those strings cover.
 
 Hashes only choose where to look: equality is decided on the symbols themselves. The documents are shuffled once, and
 steps 1, 3 and 5 read the same exchange. Every group has the size of a chunk or of a bucket, whatever the keys.
 
-A null text is empty, a null id counts as larger than all others; rows with one id do not remove each other's text.
+A null text is empty, a null id counts as larger than all others; rows with one id do not remove each other's text. Repeated
+rows are rows of their own, an empty table gives an empty result, and extra columns pass or are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.llm import spill
+
 #: Symbols whose windows are searched at a time, so that the arrays stay in the processor's cache.
 BLOCK = 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -114,7 +118,8 @@ class Words:
         return h
 
     def piece(self, a: int, z: int) -> bytes:
-        return b" ".join(self.data[self.word_at[a] : self.word_end[z - 1]].split())
+        """The words with a space after each."""
+        return b" ".join(self.data[self.word_at[a] : self.word_end[z - 1]].split()) + b" "
 
 
 def anchors(symbols: Bytes | Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -173,13 +178,26 @@ def unpack(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
 
 @dataclass
 class Pieces:
-    """Runs of strings that may be equal, as a bucket gets them. ``lead`` is how far the anchor is from the start of the
-    first string; the text of a run has ``count + window - 1`` symbols."""
+    """Runs of strings that may be equal, as a bucket gets them: arrays in files. ``lead`` is how far the anchor is from the start
+    of the first string; the text of a run has ``count + window - 1`` symbols, in ``size`` bytes of ``text`` from ``begin`` on."""
 
     ids: np.ndarray
     lead: np.ndarray
     count: np.ndarray
-    texts: list[bytes]
+    size: np.ndarray
+    text: np.ndarray
+
+    def __post_init__(self):
+        self.begin = spill.running_starts(self.size)
+
+    @staticmethod
+    def of(ids, lead, count, texts: list[bytes]) -> "Pieces":
+        logs = [spill.Log(k) for k in ("i8", "i4", "i4", "i4", "u1")]
+        for log, x in zip(logs, (ids, lead, count, [len(t) for t in texts])):
+            log.add(x)
+        for t in texts:
+            logs[4].add(np.frombuffer(t, np.uint8))
+        return Pieces(*(log.mapped() for log in logs))
 
 
 #: A bucket's decision: for runs of strings, which also start in a document with a smaller id; rows by string of the run.
@@ -196,37 +214,40 @@ _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 _SCHEMA = "chunk int, bucket int, n int, data binary"
 
 
-def murmur(x: int, seed: int = 42) -> int:
-    """Spark's hash of an int, which places a row of that key among the partitions."""
-    m = 0xFFFFFFFF
-    k = (x * 0xCC9E2D51) & m
-    k = ((k << 15 | k >> 17) & m) * 0x1B873593 & m
-    h = seed ^ k
-    h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
-    h ^= 4
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    return h ^ h >> 16
+def murmur(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of ints, which places a row of that key among the partitions."""
+    k = x.astype(np.uint32) * np.uint32(0xCC9E2D51)
+    k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+    h = np.uint32(seed) ^ k
+    h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+#: Up to so many keys are chosen to fall evenly; more of them do so by themselves.
+CHOSEN = 1 << 16
 
 
 def even_keys(count: int, partitions: int) -> list[int]:
     """``count`` ints that Spark's hash deals evenly over the partitions."""
-    out: list[list[int]] = [[] for _ in range(partitions)]
-    need, x = -(-count // partitions), 0
-    while sum(len(o) for o in out) < need * partitions:
-        h = murmur(x)
-        at = (h - (1 << 32) if h >> 31 else h) % partitions
-        if len(out[at]) < need:
-            out[at].append(x)
-        x += 1
-    return [o[k] for k in range(need) for o in out][:count]
+    need = -(-count // partitions)
+    x = np.arange(2 * count + 64 * partitions, dtype=np.int64)
+    while True:
+        at = murmur(x) % partitions
+        order = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[order], np.arange(partitions + 1))
+        if (np.diff(first) >= need).all():
+            return (x[order][first[:-1][None, :] + np.arange(need)[:, None]]).ravel()[:count].tolist()
+        x = np.arange(2 * len(x), dtype=np.int64)
 
 
-def chunk_count(docs: DataFrame, chunk_mb: int) -> int:
-    """Chunks for the size that Spark expects of the input, taken as half of its text; two or more for each partition."""
-    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(parts, math.ceil(2 * expected / (chunk_mb << 20))) if expected < 1 << 50 else parts
+def chunk_count(docs: DataFrame, text_col: str, chunk_mb: int, blob: int = 5 << 10) -> int:
+    """Chunks for the bytes of all texts: of about ``chunk_mb`` while chunks times buckets leaves ``blob`` bytes of text to each
+    pair, larger ones beyond; two or more for each partition."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // (chunk_mb << 20)), math.isqrt(size // blob)))
 
 
 def remove_repeats(
@@ -244,10 +265,13 @@ def remove_repeats(
 ) -> DataFrame:
     """``render(rows, texts, symbols, covered)`` of each chunk: covered marks the symbols of strings that repeat."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = chunk_count(docs, chunk_mb)
-    keys = even_keys(buckets, parts)
-    name = next(x for x in ("_chunk", "_chunk_", "__chunk__") if x not in docs.columns)
-    dealt = docs.withColumn(name, F.get(F.lit(keys), F.pmod(F.xxhash64(id_col, text_col), F.lit(buckets)).cast("int")))
+    buckets = chunk_count(docs, text_col, chunk_mb)
+    keys = even_keys(buckets, parts) if buckets <= CHOSEN else range(buckets)
+    name = "_chunk"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    number = F.pmod(F.xxhash64(id_col, text_col), F.lit(buckets)).cast("int")
+    dealt = docs.withColumn(name, F.get(F.lit(keys), number) if buckets <= CHOSEN else number)
 
     def unique(symbols):
         key, at, first, last, doc = anchors(symbols, window, gram)
@@ -301,59 +325,67 @@ def remove_repeats(
         _, ids, texts = ordered(table, id_col, text_col)
         symbols = kind(texts)
         distinct, place, key, at, first, last, doc = unique(symbols)
-        number = {k: b for b, k in enumerate(keys)}
+        number = {k: b for b, k in enumerate(keys)} if buckets <= CHOSEN else keys
         level = b"".join(data for _, data in sorted((number[b], d.as_py()) for b, d in zip(told.column("bucket").to_pylist(), told.column("data"))))
         level = np.frombuffer(level, np.uint8)[place]
-        first_with: dict[bytes, int] = {}
-        sent: list[list] = [[] for _ in range(buckets)]
-        settled = []
-        mine = np.flatnonzero(level)
-        columns = (at[mine], first[mine], last[mine], doc[mine], level[mine], (key[mine] % np.uint64(buckets)).astype(np.int64))
-        for p, i, j, d, hotness, b in zip(*(c.tolist() for c in columns)):
-            runs = [(i, j, b)] if hotness == 1 else [(x, x, None) for x in range(i, j + 1)]
-            for x, y, to in runs:
-                text = symbols.piece(x, y + window)
-                own = int(ids[d])
-                # documents are in order: what the text was first seen in has the smallest id
-                if first_with.setdefault(text, own) < own:
-                    settled.append((d, x - symbols.starts[d], y - x + 1))
-                else:
-                    sent[zlib.crc32(text) % buckets if to is None else to].append((own, d, x - symbols.starts[d], p - x, y - x + 1, text))
+        mine = np.flatnonzero(level == 1)
+        p, i, j, d, to = at[mine], first[mine], last[mine], doc[mine], (key[mine] % np.uint64(buckets)).astype(np.int64)
+        like = place[mine]
+        settled = None
+        hot_runs = np.flatnonzero(level == 2)
+        if len(hot_runs):
+            # strings of hot anchors: what repeats within the chunk is resolved here, by the same method
+            hp, hi, hj, hd = at[hot_runs], first[hot_runs], last[hot_runs], doc[hot_runs]
+            local = Pieces.of(ids[hd], hp - hi, hj - hi + 1, [symbols.piece(x, y + window) for x, y in zip(hi.tolist(), hj.tolist())])
+            gone = resolve(local, window)
+            run, k = np.nonzero(np.arange(gone.shape[1]) < (hj - hi + 1)[:, None])
+            here = np.asarray(gone[run, k])
+            settled = hd[run[here]], (hi[run[here]] + k[here]) - symbols.starts[hd[run[here]]]
+            run, k = run[~here], k[~here]
+            x = hi[run] + k
+            hashes = np.fromiter((zlib.crc32(symbols.piece(y, y + window)) for y in x.tolist()), np.int64, len(x))
+            p, i, j, d, to, like = (np.concatenate(c) for c in zip((p, i, j, d, to, like), (hp[run], x, x, hd[run], hashes % buckets, hashes)))
+        # by bucket, and runs of one anchor next to each other, which compresses what they share
+        order = np.lexsort((i, like, to))
+        p, i, j, d, to = (c[order] for c in (p, i, j, d, to))
+        edges = np.searchsorted(to, np.arange(buckets + 1))
         rows = []
-        for b, runs in enumerate(sent):
-            if runs:
-                own, d, x, lead, count, text = zip(*runs)
-                data = pack(a=np.array(own, np.int64), b=np.array(d, np.int32), c=np.array(x, np.int32), d=np.array(lead, np.uint8), e=np.array(count, np.uint8), f=np.array([len(t) for t in text], np.int32))
-                # denser than the shuffle's own codec, and the largest part of what is shuffled
-                rows.append((chunk, keys[b], len(runs), zstandard.compress(data + b"".join(text), 1)))
-        if settled:
-            d, x, count = zip(*settled)
-            rows.append((chunk, keys[chunk % buckets], -len(settled), pack(a=np.array(d, np.int32), b=np.array(x, np.int32), c=np.array(count, np.int32))))
+        for b in np.flatnonzero(np.diff(edges)):
+            s = slice(edges[b], edges[b + 1])
+            text = [symbols.piece(x, y + window) for x, y in zip(i[s].tolist(), j[s].tolist())]
+            data = pack(a=ids[d[s]], b=d[s].astype(np.int32), c=(i[s] - symbols.starts[d[s]]).astype(np.int64), d=(p[s] - i[s]).astype(np.int32), e=(j[s] - i[s] + 1).astype(np.int32), f=np.array([len(t) for t in text], np.int32))
+            # denser than the shuffle's own codec, and the largest part of what is shuffled
+            rows.append((chunk, keys[b], len(text), zstandard.compress(data + b"".join(text), 1)))
+        if settled is not None and len(settled[0]):
+            d, x = settled
+            rows.append((chunk, chunk, -len(d), pack(a=d.astype(np.int32), b=x.astype(np.int64), c=np.ones(len(d), np.int32))))
         return _table(rows, _ROW, _KINDS)
 
     def decide(table: pa.Table) -> pa.Table:
-        parts_of, rows = [], []
-        for c, b, n, data in zip(*(table.column(x).to_pylist() for x in _ROW)):
+        kinds = ("i8", "i4", "i8", "i4", "i4", "i4")
+        logs, text = [spill.Log(k) for k in kinds], spill.Log("u1")
+        blobs, rows, bucket = [], [], table.column("bucket")[0].as_py() if table.num_rows else 0
+        for c, n, data in zip(*(table.column(x) for x in ("chunk", "n", "data"))):
+            n = n.as_py()
             if n < 0:
-                rows.append((c, b, -n, data))
+                rows.append((c.as_py(), bucket, -n, data.as_py()))
                 continue
-            *arrays, text = unpack(zstandard.decompress(data), n, "i8", "i4", "i4", "u1", "u1", "i4")
-            ends = np.cumsum(arrays[5])
-            parts_of.append((np.full(n, c, np.int32), *arrays[:5], [text[z - k : z] for z, k in zip(ends.tolist(), arrays[5].tolist())]))
-        if parts_of:
-            chunk, own, d, x, lead, count = (np.concatenate(a) for a in list(zip(*parts_of))[:6])
-            texts = [t for p in parts_of for t in p[6]]
-            gone = resolve(Pieces(own, lead.astype(np.int64), count.astype(np.int64), texts), window)
-            edge = np.diff(np.concatenate((np.zeros((len(gone), 1), np.int8), gone.astype(np.int8), np.zeros((len(gone), 1), np.int8)), axis=1), axis=1)
-            run, a = np.nonzero(edge > 0)
-            z = np.nonzero(edge < 0)[1]
-            order = np.argsort(chunk[run], kind="stable")
-            run, a, z = run[order], a[order], z[order]
-            bounds = np.flatnonzero(np.concatenate(([True], chunk[run][1:] != chunk[run][:-1]))) if len(run) else np.zeros(0, np.int64)
-            bucket = table.column("bucket")[0].as_py()
-            for s, e in zip(bounds, np.append(bounds[1:], len(run))):
-                r = run[s:e]
-                rows.append((int(chunk[r[0]]), bucket, len(r), pack(a=d[r], b=(x[r] + a[s:e]).astype(np.int32), c=(z[s:e] - a[s:e]).astype(np.int32))))
+            *arrays, raw = unpack(zstandard.decompress(data.as_buffer()), n, *kinds)
+            for log, x in zip(logs, arrays):
+                log.add(x)
+            text.add(np.frombuffer(raw, np.uint8))
+            blobs.append((c.as_py(), n))
+        ids, d, x, lead, count, size = (log.mapped() for log in logs)
+        gone, a = resolve(Pieces(ids, lead, count, size, text.mapped()), window), 0
+        for c, n in blobs:
+            # the runs of strings that go, by their first and the one after their last
+            part = np.zeros((n, gone.shape[1] + 2), np.int8)
+            part[:, 1:-1] = gone[a : a + n]
+            run, k = np.nonzero(np.diff(part, axis=1) > 0)
+            until = np.nonzero(np.diff(part, axis=1) < 0)[1]
+            if len(run):
+                rows.append((c, bucket, len(run), pack(a=np.asarray(d[a + run]), b=np.asarray(x[a + run]) + k, c=(until - k).astype(np.int32))))
+            a += n
         return _table(rows, _ROW, _KINDS)
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -361,7 +393,7 @@ def remove_repeats(
         symbols = kind(texts)
         change = np.zeros(symbols.n + 1, np.int32)
         for n, data in zip(told.column("n").to_pylist(), told.column("data")):
-            d, x, count, _ = unpack(data.as_py(), n, "i4", "i4", "i4")
+            d, x, count, _ = unpack(data.as_py(), n, "i4", "i8", "i4")
             begin = symbols.starts[d] + x
             np.add.at(change, begin, 1)
             np.add.at(change, begin + count + window - 1, -1)

@@ -1,73 +1,40 @@
 """Substring removal by external induced sorting of suffixes.
 
-A bucket (see ``repeats``) holds runs of strings around shared anchors. The suffixes that start at the anchors are sorted
-first. The order of the suffixes one symbol further left is induced from theirs: taken in order, each is put into the queue
-of the symbol before it, and the queues read in order of symbol are the next order, since suffixes that begin alike keep
-the order of what follows. That recurs, one symbol further left each time. With each tuple goes the length of the prefix that
-its suffix shares with the one before it: in the next order it is 0 where the symbol changes, else one more than the least of
-those passed since the last of its symbol. Neighbours that share ``window`` symbols are equal strings, and those in a
+A bucket (see ``repeats``) is a shard: runs of strings around shared anchors, whose text lies in a file. Its suffixes are sorted
+by induction from a sample, the suffixes at the anchors, which equal strings have at equal places. The order of the suffixes
+one symbol further left is induced from that: taken in order, each is put into the queue of the symbol before it, and the
+queues read in order of symbol are the next order, since suffixes that begin alike keep the order of what follows. That
+recurs, one symbol further left each time, until the first string of every run.
+
+The sample is sorted by the same induction one level up: the text right of an anchor is cut into blocks of 8 symbols,
+the blocks are named in their order, and a suffix of the sample is a short string of names; its order is induced from that
+of the suffix one name shorter, down to the empty one.
+
+With each tuple goes the length of the prefix that its suffix shares with the one before it. In the next order that is the
+block's width more than the least of those passed since the last tuple of its symbol, and for the first of a symbol what the
+symbol has in common with the one before it. Neighbours that share ``window`` symbols are equal strings, and those in a
 document with a larger id than the least of their group are removed.
 
-Tuples are read and written in blocks. The queues form a priority queue by symbol that keeps blocks in memory up to a
-limit and moves them to an unlinked file of the task beyond it; where even the anchors' suffixes do not fit one
-block, they are sorted by the same induction, from their ends. A file is read only by the task that wrote it: if an executor
-is lost, the task starts again.
+Nothing of a shard is held in memory as a whole: text, runs, names and marks lie in mapped files, tuples pass in blocks of ``size``,
+and the queues move what is beyond ``limit`` bytes to disk. All of these files belong to the task (see ``spill``).
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.llm import spill
 from spanloom.llm.repeats import Bytes, Pieces, remove_repeats
 
 #: (run of strings, length of the prefix shared with the tuple before): one block of tuples.
 Block = tuple[np.ndarray, np.ndarray]
-
-
-class SymbolQueues:
-    """A priority queue by symbol, first in first out within one; blocks beyond ``limit`` bytes lie on disk."""
-
-    def __init__(self, limit: int):
-        self.limit, self.held = limit, 0
-        self.queues: list[list] = [[] for _ in range(256)]
-        self.file = None
-
-    def push(self, symbol: int, run: np.ndarray, shared: np.ndarray) -> None:
-        size = run.nbytes + shared.nbytes
-        if self.held + size <= self.limit:
-            self.held += size
-            self.queues[symbol].append((run, shared))
-            return
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        at = self.file.seek(0, 2)
-        self.file.write(run.tobytes() + shared.tobytes())
-        self.queues[symbol].append((at, len(run)))
-
-    def drain(self, size: int) -> Iterator[tuple[int, Block]]:
-        """All blocks in order of symbol, small ones joined up to ``size`` tuples of one symbol."""
-        for symbol in range(256):
-            held: list[Block] = []
-            for a, b in self.queues[symbol]:
-                if isinstance(b, int):
-                    self.file.seek(a)
-                    data = self.file.read(b * 6)
-                    a, b = np.frombuffer(data, np.int32, b), np.frombuffer(data, np.int16, b, 4 * b)
-                held.append((a, b))
-                if sum(len(x) for x, _ in held) >= size:
-                    yield symbol, (np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-                    held = []
-            if held:
-                yield symbol, (np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-            self.queues[symbol] = []
-        if self.file is not None:
-            self.file.close()
+#: Symbols of a block that is named.
+NAMED = 8
 
 
 def range_minimum(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -86,88 +53,136 @@ def range_minimum(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarra
         table = np.minimum(table[: -(1 << (power - 1))], table[1 << (power - 1) :])
 
 
-def induce(blocks: Iterator[Block], symbol_of, limit: int, size: int, most: int) -> Iterator[Block]:
-    """The blocks of the next order. ``symbol_of(run)`` is the symbol before each suffix, -1 where a suffix is dropped."""
-    queues = SymbolQueues(limit)
-    since = np.full(256, most, np.int16)  # least shared length since the last tuple of each symbol
-    met = np.zeros(256, bool)
+def induce(blocks: Iterator[Block], symbol_of: Callable, alphabet: int, unit: int, common: Callable, size: int, limit: int, most: int) -> Iterator[Block]:
+    """The blocks of the next order. ``symbol_of(runs)`` is the symbol before each suffix, -1 where a suffix is dropped;
+    ``common(one, two)`` is how much two different symbols share, and ``unit`` what a whole one counts."""
+    queues = spill.SymbolQueues(alphabet, limit)
+    last = spill.array(np.int64, alphabet)  # for each symbol the place after its last tuple so far
+    at_most = np.zeros(most + 1, np.int64)  # for each length the place after the last tuple that shares no more
+    passed = 0
     for run, shared in blocks:
         symbol = symbol_of(run)
-        order = np.argsort(symbol.astype(np.int16), kind="stable")
-        order = order[symbol[order] >= 0]
+        order = np.argsort(symbol, kind="stable")
+        order = order[np.searchsorted(symbol[order], 0) :]
         own = symbol[order]
-        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
-        prefix = np.minimum.accumulate(shared)
-        new = np.empty(len(order), np.int16)
-        inner = np.ones(len(order), bool)
-        inner[head] = False
-        at = np.flatnonzero(inner)
-        new[at] = range_minimum(shared, order[at - 1] + 1, order[at] + 1) + 1
-        new[head] = np.where(met[own[head]], np.minimum(since[own[head]], prefix[order[head]]) + 1, 0)
-        np.minimum(new, most, out=new)
-        suffix = np.minimum.accumulate(shared[::-1])[::-1]
-        since = np.minimum(since, prefix[-1]) if len(shared) else since
-        for h, e in zip(head, np.append(head[1:], len(own))):
-            s = int(own[h])
-            met[s] = True
-            after = order[e - 1] + 1
-            since[s] = suffix[after] if after < len(shared) else most
-            queues.push(s, run[order[h:e]].astype(np.int32), new[h:e])
-    for _, block in queues.drain(size):
-        yield block
-
-
-def _anchor_order(right: np.ndarray, size: int, limit: int) -> Iterator[Block]:
-    """Blocks of the suffixes at the anchors, whose symbols are the rows of ``right`` (as wide as a multiple of 8)."""
-    n, width = right.shape
-    if n > size:
-        none = np.full(n, 0, np.int16)
-        blocks: Iterator[Block] = ((np.arange(a, min(n, a + size), dtype=np.int32), none[a : a + size]) for a in range(0, n, size))
-        for k in range(width - 1, -1, -1):
-            # queues need the blocks of one order at a time
-            blocks = induce(blocks, lambda run, k=k: right[run, k].astype(np.int32), limit, size, width)
-        yield from blocks
-        return
-    columns = right.view(">u8").astype(np.uint64)
-    order = np.lexsort(columns.T[::-1])
-    columns = columns[order]
-    differ = columns[1:] ^ columns[:-1]
-    shared = np.zeros(n, np.int16)
-    if n > 1:
-        alike = (differ.astype(">u8").view(np.uint8).reshape(n - 1, -1) == 0).astype(np.uint8)
-        shared[1:] = np.where(alike.all(1), alike.shape[1], alike.argmin(1))
-    yield order.astype(np.int32), shared
-
-
-def repeated(pieces: Pieces, window: int = 50, size: int = 1 << 20, limit: int = 64 << 20) -> np.ndarray:
+        if len(own):
+            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            inner = np.ones(len(order), bool)
+            inner[head] = False
+            at = np.flatnonzero(inner)
+            new = np.empty(len(order), np.int16)
+            new[at] = range_minimum(shared, order[at - 1] + 1, order[at] + 1)
+            before = last[own[head]]
+            new[head] = np.minimum(np.minimum.accumulate(shared)[order[head]], np.searchsorted(at_most, before, side="right"))
+            new = np.minimum(new + np.int16(unit), most).astype(np.int16)
+            new[head[before == 0]] = -1  # the first of its symbol is compared with the symbol before when the queues are read
+            last[own[head]] = passed + order[np.append(head[1:], len(order)) - 1] + 1
+            queues.push(own, run[order], new)
+        reach = np.searchsorted(np.minimum.accumulate(shared[::-1])[::-1], np.arange(most + 1), side="right")
+        at_most = np.where(reach > 0, passed + reach, at_most)
+        passed += len(run)
+    before = None
+    for symbol, run, shared in queues.drain(size):
+        first = np.flatnonzero(shared < 0)
+        if len(first):
+            shared = shared.copy()
+            shared[first] = common(np.where(first > 0, symbol[first - 1], symbol[first] if before is None else before), symbol[first])
+            if before is None:
+                shared[0] = 0
+        before = symbol[-1]
+        yield run, shared
+
+
+def name_blocks(keys: np.ndarray, size: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the blocks of symbols, numbers in the blocks' order, and the block of each name.
+
+    Blocks are dealt by their leading symbols until a share fits ``size``, and sorted there."""
+    names, values = spill.array(np.int32, len(keys)), spill.Log("u8")
+
+    def visit(parts: Iterator[np.ndarray], n: int, depth: int) -> None:
+        if n <= size:
+            at = np.concatenate(list(parts))
+            found, where = np.unique(keys[at], return_inverse=True)
+            names[at] = values.n + where
+            values.add(found)
+            return
+        if depth == NAMED:  # one block, however often
+            for at in parts:
+                names[at] = values.n
+            values.add(keys[at[:1]])
+            return
+        queues = spill.SymbolQueues(256, limit)
+        counts = np.zeros(256, np.int64)
+        for at in parts:
+            symbol = (keys[at] >> np.uint64(56 - 8 * depth) & np.uint64(255)).astype(np.uint8)
+            order = np.argsort(symbol, kind="stable")
+            counts += np.bincount(symbol, minlength=256)
+            queues.push(symbol[order], at[order], np.zeros(len(at), np.int16))
+        ready = queues.drain(size, apart=True)
+        for symbol in np.flatnonzero(counts):
+            visit(_taken(ready, int(counts[symbol])), int(counts[symbol]), depth + 1)
+
+    visit((np.arange(a, min(len(keys), a + size)) for a in range(0, len(keys), size)), len(keys), 0)
+    return names, values.mapped()
+
+
+def _taken(blocks: Iterator, n: int) -> Iterator[np.ndarray]:
+    """The next ``n`` items; the blocks of one symbol never go on into the next."""
+    while n:
+        _, item, _ = next(blocks)
+        n -= len(item)
+        yield item
+
+
+def anchor_order(pieces: Pieces, window: int, size: int, limit: int, most: int) -> Iterator[Block]:
+    """Blocks of the suffixes at the anchors, by their next ``window`` symbols (none is below all)."""
+    n, m = len(pieces.ids), -(-window // NAMED)
+    keys = spill.array(np.uint64, m, n)
+    slab = max(256, size >> 5)
+    for a in range(0, n, slab):
+        s = slice(a, a + slab)
+        at = pieces.begin[s] + pieces.lead[s]
+        place = at[:, None] + np.arange(m * NAMED)
+        right = np.where(place < (pieces.begin[s] + pieces.size[s])[:, None], pieces.text[np.minimum(place, len(pieces.text) - 1)], 0)
+        keys[:, s] = right.astype(np.uint8).view(">u8").T
+    names, values = name_blocks(keys.reshape(-1), size, limit)
+    names = names.reshape(m, n)
+
+    def common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        differ = (values[one] ^ values[two]).astype(">u8").view(np.uint8).reshape(-1, NAMED) != 0
+        return np.where(differ.any(1), differ.argmax(1), NAMED)
+
+    blocks: Iterator[Block] = ((np.arange(a, min(n, a + size)), np.zeros(min(n, a + size) - a, np.int16)) for a in range(0, n, size))
+    for k in range(m - 1, -1, -1):
+        blocks = induce(blocks, lambda run, k=k: names[k][run], len(values), NAMED, common, size, limit, most)
+    return blocks
+
+
+def repeated(pieces: Pieces, window: int = 50, size: int = 1 << 18, limit: int = 8 << 20) -> np.ndarray:
     """Which strings of each run also start in a run with a smaller id."""
-    n = len(pieces.texts)
-    most_count = int(pieces.count.max(initial=0))
-    out = np.zeros((n, most_count), bool)
-    lengths = np.array([len(t) for t in pieces.texts], np.int64)
-    text = np.frombuffer(b"".join(pieces.texts) + b"\0" * 2 * window, np.uint8)
-    begin = np.cumsum(lengths) - lengths
-    anchor = begin + pieces.lead
-    width = -(-window // 8) * 8
-    right_size = lengths - pieces.lead
-    right = np.empty((n, width), np.uint8)
-    for a in range(0, n, 1 << 14):
-        s = slice(a, a + (1 << 14))
-        right[s] = text[anchor[s, None] + np.arange(width)]
-        right[s][np.arange(width) >= right_size[s, None]] = 0
-    last = pieces.lead - pieces.count + 1  # how far left of the anchor the last string of a run starts
-    most = width + window
-    blocks = _anchor_order(np.ascontiguousarray(right), size, limit)
+    n = len(pieces.ids)
+    out = spill.array(bool, n, int(pieces.count.max(initial=0)))
+    if not n:
+        return out
+    most = -(-window // NAMED) * NAMED + window
+    blocks = anchor_order(pieces, window, size, limit, most)
+    nothing = lambda one, two: np.zeros(len(one), np.int16)
     for step in range(int(pieces.lead.max(initial=0)) + 1):
         if step:
-            blocks = induce(kept, lambda run, step=step: np.where(pieces.lead[run] >= step, text[anchor[run] - step].astype(np.int32), -1), limit, size, most)
-        kept = _settle(blocks, step, last, pieces, window, out)
+
+            def before(run: np.ndarray, step=step) -> np.ndarray:
+                """The symbol ``step`` left of the anchor, as a small integer that sorts by radix."""
+                there = pieces.lead[run] >= step
+                return np.where(there, pieces.text[np.maximum(pieces.begin[run] + pieces.lead[run] - step, 0)].astype(np.int16), np.int16(-1))
+
+            blocks = induce(kept, before, 256, 1, nothing, size, limit, most)
+        kept = _settle(blocks, step, pieces, window, out)
     for _ in kept:
         pass
     return out
 
 
-def _settle(blocks: Iterator[Block], step: int, last: np.ndarray, pieces: Pieces, window: int, out: np.ndarray) -> Iterator[Block]:
+def _settle(blocks: Iterator[Block], step: int, pieces: Pieces, window: int, out: np.ndarray) -> Iterator[Block]:
     """Passes blocks on and marks the strings that start ``step`` symbols left of their anchors.
 
     A group of equal strings may go over the ends of blocks: its tuples are held back until it ends."""
@@ -181,7 +196,8 @@ def _settle(blocks: Iterator[Block], step: int, last: np.ndarray, pieces: Pieces
 
     for run, shared in blocks:
         yield run, shared
-        mine = np.flatnonzero((last[run] <= step) & (pieces.lead[run] >= step))
+        lead = pieces.lead[run]
+        mine = np.flatnonzero((lead - pieces.count[run] < step) & (lead >= step))
         if not len(mine):
             through = min(through, shared.min(initial=32767))
             continue

@@ -1,124 +1,228 @@
 """Substring removal by prefix-partitioned suffix trees over words.
 
 A bucket (see ``repeats``) holds runs of words around shared anchors; a suffix starts at each word that starts a string of
-``window`` words. Suffixes are split by prefixes of growing length: a prefix that one document alone has is dropped with all
-below it, and one with more suffixes than fit a group is split by longer prefixes. Each group becomes a subtree, built
-from the top: the children of a node are its suffixes split by their next words, edges hold as many words as two
-levels are apart, and a node of one document is a leaf that is not kept. Nodes at ``window`` words or deeper with
-suffixes of several documents are the deep internal nodes, whose strings are the repeats; in each, suffixes of documents
-with a larger id than the least are removed. Words are numbered exactly, by their bytes, never by a hash.
+``window`` words. Words are numbered exactly, by their bytes, and their numbers lie in a file. Suffixes are dealt by their first
+word, and a prefix that still has more than ``group`` of them by the next, so prefixes are as long as it takes; neighbouring
+prefixes share a group while that fits. Each group becomes one subtree in memory: its suffixes are sorted from the
+prefix on, the words that neighbours share give the internal nodes from the deepest up, with their depth, their parent and the
+range of suffixes below. Internal nodes at ``window`` words or deeper with suffixes of several documents are the repeats; below each,
+suffixes of documents with a larger id than the least are removed. What is deeper than ``window`` words need not be told apart.
+
+A prefix may reach ``window`` words and still have too many suffixes: these are all one node, which needs no tree, only
+its least id. Groups are built one at a time, and all else lies in files of the task (see ``spill``).
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.llm import spill
 from spanloom.llm.repeats import Pieces, Words, remove_repeats
 
 
-def word_numbers(texts: list[bytes]) -> np.ndarray:
-    """A number for each word of the texts, end to end; equal words have equal numbers. Words are parted by one space."""
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    at = np.flatnonzero(data == 32)
-    ends = np.concatenate((at - np.arange(len(at)), [len(data) - len(at)])).astype(np.int64)
-    offsets = np.concatenate(([0], ends))
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 32].tobytes())])
-    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
-def split(node: np.ndarray, by: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Child of each suffix when nodes are split by ``by``, and whether suffixes of two ids or more are in it."""
-    key = node * (int(by.max(initial=0)) + 1) + by
-    order = np.argsort(key, kind="stable")
-    first = np.concatenate(([True], key[order][1:] != key[order][:-1])) if len(order) else np.zeros(0, bool)
-    child = np.empty(len(node), np.int64)
-    child[order] = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    least, most = (f.reduceat(ids[order], starts) if len(starts) else ids for f in (np.minimum, np.maximum))
-    return child, (least < most)[child] if len(child) else np.zeros(0, bool)
-
-
-def levels(window: int) -> list[tuple[int, int]]:
-    """Depths of the tree's nodes and of the table that their children are found in: 2, 4, 8 .. and ``window``."""
-    out, depth = [], 1
-    while depth < window:
-        step = min(depth, window - depth)
-        out.append((depth + step, depth))
-        depth += step
-    return out
+def word_numbers(pieces: Pieces, slab: int) -> tuple[np.ndarray, int]:
+    """A number for each word of the pieces, end to end, in a file; equal words have equal numbers. And how many there are.
+
+    Only the words themselves, each once, are held in memory, and ``slab`` bytes of text."""
+    log, known, a = spill.Log("i4"), {}, 0
+    ends = pieces.begin
+    while a < len(pieces.size):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + slab)))
+        data = np.asarray(pieces.text[ends[a] : ends[z - 1] + pieces.size[z - 1]])
+        space = np.flatnonzero(data == 32)  # each word ends in one
+        offsets = np.concatenate(([0], space - np.arange(len(space))))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(space), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[data != 32].tobytes())])
+        words = words.dictionary_encode()
+        numbers = np.array([known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()], np.int32)
+        log.add(numbers[words.indices.to_numpy()])
+        a = z
+    return log.mapped(), len(known)
+
+
+@dataclass
+class Tree:
+    """The internal nodes of a subtree, children before parents: the range of sorted suffixes below each, its depth in words,
+    its parent among them (-1 for the topmost), and the least and largest id below."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    depth: np.ndarray
+    parent: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+
+def build(ids: np.ndarray, shared: np.ndarray) -> Tree:
+    """The internal nodes over sorted suffixes of which each shares ``shared`` words with the one before it (0 for the first)."""
+    n = len(ids)
+    # subtrees so far: first suffix, node (-1 for a leaf), least and largest id, and words shared with the subtree before
+    lo, node, least, most, sep = np.arange(n), np.full(n, -1), ids, ids, shared
+    made: list[tuple] = []
+    parent: list[np.ndarray] = []
+    count = 0
+    for depth in np.unique(shared[1:])[::-1]:
+        joined = sep == depth
+        joined[0] = False
+        head = np.flatnonzero(~joined)
+        sizes = np.diff(np.append(head, len(joined)))
+        grown = sizes > 1
+        new = np.where(grown, count + np.cumsum(grown) - 1, node[head])
+        ends = np.append(lo[head][1:], n)
+        low, high = np.minimum.reduceat(least, head), np.maximum.reduceat(most, head)
+        made.append((lo[head][grown], ends[grown], np.full(int(grown.sum()), depth), low[grown], high[grown]))
+        child = np.repeat(grown, sizes) & (node >= 0)
+        parent.append(np.stack((node[child], np.repeat(new, sizes)[child])))
+        count += int(grown.sum())
+        lo, node, least, most, sep = lo[head], new, low, high, sep[head]
+    above = np.full(count, -1)
+    for child, own in parent:
+        above[child] = own
+    a, z, depth, low, high = (np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in zip(*made)) if made else (np.zeros(0, np.int64),) * 5
+    return Tree(a, z, depth, above, low, high)
+
+
+def sorted_suffixes(words: np.ndarray, place: np.ndarray, depth: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``place``, which share ``depth`` words, by their words up to ``window``; and how many words each
+    shares with the one before it."""
+    n = len(place)
+    order, shared = np.arange(n), np.full(n, window, np.int64)
+    shared[:1] = 0
+    live = np.arange(n)  # places in the order whose class has several suffixes yet
+    first = np.zeros(n, bool)
+    first[:1] = True
+    at = depth
+    while at < window and len(live):
+        own = place[order[live]] + at
+        one = words[own].astype(np.int64)
+        two = words[own + 1].astype(np.int64) if at + 1 < window else np.zeros(len(own), np.int64)
+        key, group = one << 32 | two, np.cumsum(first[live])
+        by = np.lexsort((key, group))
+        order[live], key, group = order[live][by], key[by], group[by]
+        new = np.flatnonzero((key[1:] != key[:-1]) & (group[1:] == group[:-1])) + 1
+        shared[live[new]] = at + ((key[new] ^ key[new - 1]) >> 32 == 0)
+        first[live[new]] = True
+        alone = first[live] & np.append(first[live][1:], True)
+        live = live[~alone]
+        at += 2
+    return order, shared
 
 
-def repeated(pieces: Pieces, window: int = 50, group: int = 1 << 21) -> np.ndarray:
+def repeated(pieces: Pieces, window: int = 50, group: int = 1 << 16, limit: int = 8 << 20) -> np.ndarray:
     """Which strings of each run also start in a run with a smaller id."""
-    n = len(pieces.texts)
-    out = np.zeros((n, int(pieces.count.max(initial=0))), bool)
+    n = len(pieces.ids)
+    out = spill.array(bool, n, int(pieces.count.max(initial=0)))
     if not n:
         return out
-    words = word_numbers(pieces.texts)
-    sizes = pieces.count + window - 1
-    run_at = np.cumsum(sizes) - sizes
-    run = np.repeat(np.arange(n), pieces.count)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(pieces.count) - pieces.count, pieces.count)
-    suffix = run_at[run] + place
-    ids = pieces.ids[run]
-    # prefixes of growing length over every word of the bucket; windows never leave their run, so only they are looked up
-    table = words
-    live = np.arange(len(suffix))
-    node = np.zeros(len(suffix), np.int64)
-    tables = {1: words}
-    depth = 1
-    while depth * 2 <= min(8, window):
-        key = table[:-depth] * (int(table.max(initial=0)) + 1) + table[depth:]
-        table = np.unique(key, return_inverse=True)[1]
-        depth *= 2
-        tables[depth] = table
-    node, shared = split(node, table[suffix], ids)
-    live = np.flatnonzero(shared)
-    for part in _groups(node[live], group):
-        mine = live[part]
-        _subtree(mine, node[mine], depth, tables[depth], suffix, ids, window, out, run, place)
+    words, vocabulary = word_numbers(pieces, max(1 << 14, 16 * group))
+    run_at, base = spill.running_starts(pieces.count + (window - 1)), spill.running_starts(pieces.count)
+
+    def where(string: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Run of each string, and its place there."""
+        run = np.searchsorted(base, string, side="right") - 1
+        return run, string - base[run]
+
+    def mark(string: np.ndarray) -> None:
+        out[where(string)] = True
+
+    def subtree(string: np.ndarray, depth: int) -> None:
+        run, k = where(string)
+        ids = np.asarray(pieces.ids[run])
+        order, shared = sorted_suffixes(words, run_at[run] + k, depth, window)
+        tree = build(ids[order], shared)
+        deep = np.flatnonzero((tree.depth >= window) & (tree.least < tree.most))
+        sizes = tree.hi[deep] - tree.lo[deep]
+        below = np.arange(sizes.sum()) + np.repeat(tree.lo[deep] - (np.cumsum(sizes) - sizes), sizes)
+        least = np.repeat(tree.least[deep], sizes)
+        mark(string[order[below[ids[order[below]] > least]]])
+
+    def visit(blocks: Iterator[np.ndarray], count: int, depth: int) -> None:
+        """Builds the subtrees of suffixes that share ``depth`` words."""
+        if count <= group:
+            subtree(np.concatenate(list(blocks)), depth)
+            return
+        if depth == window:
+            held, least = spill.Log("i8"), None
+            for string in blocks:
+                held.add(string)
+                low = int(pieces.ids[where(string)[0]].min())
+                least = low if least is None else min(least, low)
+            strings = held.mapped()
+            for a in range(0, len(strings), group):
+                part = strings[a : a + group]
+                mark(part[pieces.ids[where(part)[0]] > least])
+            return
+        queues = spill.SymbolQueues(vocabulary, limit)
+        for string in blocks:
+            run, k = where(string)
+            word = words[run_at[run] + k + depth]
+            order = np.argsort(word, kind="stable")
+            queues.push(word[order], string[order], np.zeros(len(order), np.int16))
+        held, room = [], 0
+        for counted, part in _by_prefix(queues.drain(group), group):
+            if counted > group:
+                visit(part, counted, depth + 1)
+                continue
+            if room + counted > group:
+                subtree(np.concatenate(held), depth)
+                held, room = [], 0
+            held += list(part)
+            room += counted
+        if held:
+            subtree(np.concatenate(held), depth)
+
+    total = int(pieces.count.sum())
+    visit((np.arange(a, min(total, a + group)) for a in range(0, total, group)), total, 0)
     return out
 
 
-def _groups(node: np.ndarray, size: int):
-    """Suffixes of neighbouring prefixes together, up to ``size``; a larger prefix is a group that its subtree splits on."""
-    order = np.argsort(node, kind="stable")
-    sorted_node = node[order]
-    ends = np.append(np.flatnonzero(sorted_node[1:] != sorted_node[:-1]) + 1, len(node)) if len(node) else []
-    at, last = 0, 0
-    for e in ends:
-        if e - at > size and last > at:
-            yield order[at:last]
-            at = last
-        last = e
-    if last > at:
-        yield order[at:last]
-
-
-def _subtree(mine: np.ndarray, node: np.ndarray, depth: int, table: np.ndarray, suffix: np.ndarray, ids: np.ndarray, window: int, out: np.ndarray, run: np.ndarray, place: np.ndarray) -> None:
-    """Builds the subtree of a group level by level; leaves go, and the deep internal nodes mark their strings.
-
-    ``table`` numbers the ``step`` words at each place, so a node is split by the next ``step`` words, or, where fewer are
-    left to ``window``, by the last ``step`` (which overlap those already compared)."""
-    step = depth
-    while depth < window and len(mine):
-        at = min(depth, window - step)
-        node, shared = split(node, table[suffix[mine] + at], ids[mine])
-        depth = at + step
-        mine, node = mine[shared], node[shared]
-    if not len(mine):
-        return
-    order = np.argsort(node, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], node[order][1:] != node[order][:-1])))
-    least = np.minimum.reduceat(ids[mine][order], starts)
-    gone = np.empty(len(mine), bool)
-    gone[order] = ids[mine][order] > np.repeat(least, np.diff(np.append(starts, len(mine))))
-    out[run[mine[gone]], place[mine[gone]]] = True
+def _by_prefix(blocks: Iterator, group: int) -> Iterator[tuple[int, list | Iterator]]:
+    """(how many, blocks) of suffixes in order of their next word: whole words together, where they came in one block, and
+    a word with more than ``group`` suffixes by itself, from a file."""
+    held: list[np.ndarray] = []
+    log, n, word = None, 0, None
+
+    def add(string: np.ndarray) -> None:
+        nonlocal log, n
+        n += len(string)
+        held.append(string)
+        if n > group:
+            log = log or spill.Log("i8")
+            for x in held:
+                log.add(x)
+            held.clear()
+
+    def ready():
+        nonlocal held, log, n
+        if log is None:
+            out = n, held
+        else:
+            strings = log.mapped()
+            out = n, (np.asarray(strings[a : a + group]) for a in range(0, n, group))
+        held, log, n = [], None, 0
+        return out
+
+    for symbol, string, _ in blocks:
+        if n and symbol[0] != word:
+            yield ready()
+        word = symbol[-1]
+        if symbol[0] == word:
+            add(string)
+            continue
+        a, z = np.searchsorted(symbol, symbol[0], side="right"), np.searchsorted(symbol, word)
+        add(string[:a])
+        yield ready()
+        if z > a:
+            yield int(z - a), [string[a:z]]
+        add(string[z:])
+    if n:
+        yield ready()
 
 
 def _digests(table: pa.Table, texts: list[bytes], symbols: Words, covered: np.ndarray) -> pa.Table:

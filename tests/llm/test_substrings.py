@@ -112,31 +112,106 @@ def pieces(seed):
         if texts[-1] is None:
             k = r.randrange(len(texts) - 1)
             texts[-1], lead[-1], count[-1] = texts[k], lead[k], count[k]
-    return repeats.Pieces(np.array(ids), np.array(lead), np.array(count), texts)
+    return repeats.Pieces.of(ids, lead, count, texts), texts
 
 
 @pytest.mark.parametrize("size,limit", [(1 << 20, 1 << 26), (50, 1 << 26), (50, 200), (7, 0)])
 def test_induced_order_in_memory_and_on_disk(size, limit):
     """Strings of a bucket meet at equal distances from their anchors."""
     for seed in range(3):
-        p = pieces(seed)
+        p, texts = pieces(seed)
         got = suffix_sort.repeated(p, 12, size, limit)
         least = {}
-        for i, a, c, t in zip(p.ids, p.lead, p.count, p.texts):
+        for i, a, c, t in zip(p.ids, p.lead, p.count, texts):
             for k in range(c):
                 at = (a - k, t[k : k + 12])
                 least[at] = min(least.get(at, i), i)
-        for n, (i, a, c, t) in enumerate(zip(p.ids, p.lead, p.count, p.texts)):
+        for n, (i, a, c, t) in enumerate(zip(p.ids, p.lead, p.count, texts)):
             assert [bool(x) for x in got[n, :c]] == [least[a - k, t[k : k + 12]] < i for k in range(c)]
 
 
-def test_subtrees_of_small_groups(docs, rows):
+def marked(ids, count, texts, window):
+    """Strings of the runs that also start in a run of a smaller id, by a dictionary."""
+    least = {}
+    for i, c, t in zip(ids, count, texts):
+        w = t.split()
+        for k in range(c):
+            g = tuple(w[k : k + window])
+            least[g] = min(least.get(g, i), i)
+    return [[least[tuple(t.split()[k : k + window])] < i for k in range(c)] for i, c, t in zip(ids, count, texts)]
+
+
+@pytest.mark.parametrize("group,limit", [(1 << 16, 1 << 23), (40, 1 << 23), (5, 300), (1, 0)])
+def test_subtrees_of_small_groups(group, limit):
+    """Prefixes of any length, up to strings that are all equal and still too many for a group."""
     r = random.Random(5)
-    texts = [" ".join(r.choices("abc", k=19)) for _ in range(60)] * 3
-    ids = np.array([r.randint(0, 30) for _ in texts])
-    p = repeats.Pieces(ids, np.zeros(len(texts), int), np.full(len(texts), 8), [t.encode() for t in texts])
-    a = suffix_tree.repeated(p, 12)
-    assert (a == suffix_tree.repeated(p, 12, group=5)).all() and a.any() and not a.all()
+    texts = [" ".join(r.choices("abc", k=19)) + " " for _ in range(60)] * 3 + ["x " * 19] * 20
+    texts += [" ".join(["aé", "b", "c"] * 6 + ["d"]) + " "] * 7
+    ids, count = [r.randint(0, 30) for _ in texts], [r.randint(1, 8) for _ in texts]
+    texts = [" ".join(t.split()[: c + 11]) + " " for c, t in zip(count, texts)]
+    got = suffix_tree.repeated(repeats.Pieces.of(ids, [0] * len(texts), count, texts and [t.encode() for t in texts]), 12, group, limit)
+    want = marked(ids, count, texts, 12)
+    assert [[bool(x) for x in got[k, :c]] for k, c in enumerate(count)] == want
+    assert any(map(any, want)) and not all(map(all, want))
+
+
+def test_nodes_of_a_subtree():
+    """Depth, parent and range of every internal node, against the definition."""
+    r = random.Random(8)
+    words = np.array(r.choices(range(3), k=400), np.int32)
+    place = np.array(r.sample(range(380), 120))
+    order, shared = suffix_tree.sorted_suffixes(words, place, 0, 12)
+    rows = [tuple(words[p : p + 12]) for p in place[order]]
+    assert rows == sorted(rows)
+    common = lambda a, b: next((k for k in range(12) if a[k] != b[k]), 12)
+    assert shared.tolist() == [0] + [common(a, b) for a, b in zip(rows, rows[1:])]
+    ids = np.array([r.randint(0, 9) for _ in rows])
+    tree = suffix_tree.build(ids, shared)
+    want = {}
+    for depth in range(13):
+        for k in range(1, len(rows)):
+            if shared[k] == depth:
+                same = [j for j, x in enumerate(rows) if x[:depth] == rows[k][:depth]]
+                want[min(same), max(same) + 1] = depth
+    got = {(a, z): d for a, z, d in zip(tree.lo.tolist(), tree.hi.tolist(), tree.depth.tolist())}
+    assert got == want
+    for k, p in enumerate(tree.parent):
+        above = [j for j in range(len(tree.lo)) if j != k and tree.lo[j] <= tree.lo[k] and tree.hi[k] <= tree.hi[j]]
+        assert p == (min(above, key=lambda j: tree.hi[j] - tree.lo[j]) if above else -1)
+        assert tree.least[k] == ids[tree.lo[k] : tree.hi[k]].min() and tree.most[k] == ids[tree.lo[k] : tree.hi[k]].max()
+
+
+def shard(words, seed=2, runs=60000):
+    """A shard of runs of which many repeat, in bytes or in words, of about 4 or 14 MB."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 4)))
+    make = (lambda: " ".join(word() for _ in range(67)) + " ") if words else (lambda: "".join(r.choices("ab cd", k=67)))
+    texts: list = []
+    for _ in range(runs):
+        texts.append(r.choice(texts) if texts and r.random() < 0.5 else make())
+    ids = [r.randrange(5000) for _ in texts]
+    return ids, [17] * runs, [18] * runs, [t.encode() for t in texts]
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_a_shard_far_larger_than_its_memory(words):
+    """What a shard needs in memory follows the bounds, not the shard; the files hold the rest."""
+    import tracemalloc
+
+    ids, lead, count, texts = shard(words)
+    p = repeats.Pieces.of(ids, lead, count, texts)
+    run = (lambda: suffix_tree.repeated(p, 50, 1 << 12, 1 << 16)) if words else (lambda: suffix_sort.repeated(p, 50, 1 << 11, 1 << 16))
+    first: dict = {}
+    for i, t in zip(ids, texts):
+        first[t] = min(first.get(t, i), i)
+    tracemalloc.start()
+    got = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    held = 14 * sum(count)  # bytes of tuples of one pass, if they were all in memory
+    assert peak < held / 2, (peak, held)
+    gone = np.asarray(got).all(1)
+    assert gone.tolist() == [first[t] < i for i, t in zip(ids, texts)]
 
 
 def test_word_hashes_do_not_depend_on_the_place():
@@ -151,11 +226,28 @@ def test_word_hashes_do_not_depend_on_the_place():
 
 
 def test_even_keys_follow_sparks_hash(spark):
+    x = list(range(-3, 1000, 7))
+    assert repeats.murmur(np.array(x)).tolist() == [r.h for r in spark.createDataFrame([(k,) for k in x], "k int").select(F.hash("k").alias("h")).collect()]
     keys = repeats.even_keys(40, 7)
+    assert len(set(repeats.even_keys(100_000, 3000))) == 100_000
     got = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(7)).alias("p")).groupBy("p").count().collect()
     assert sorted(r["count"] for r in got) == [5, 5, 6, 6, 6, 6, 6]
 
 
+def test_chunks_follow_the_input(spark):
+    """Fixed chunks at first; beyond, chunks grow with the input so that the pairs of chunk and bucket do not."""
+    assert repeats.chunk_count(spark.createDataFrame([(0, "x")], "doc_id long, text string"), "text", 24) == 16
+    many = spark.range(10).selectExpr("repeat('x', 3000000) as text").unionAll(spark.range(1).selectExpr("cast(null as string)"))
+    assert repeats.chunk_count(many, "text", 1) == 29 and repeats.chunk_count(many, "text", 1, blob=75_000) == 20
+    plain = spark.createDataFrame([(i, f"{'same words ' * 60} {i}") for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, suffix_tree.word_digests(plain).collect()))
+    chosen, repeats.CHOSEN = repeats.CHOSEN, 2
+    try:
+        assert sorted(map(tuple, suffix_tree.word_digests(plain).collect())) == want
+    finally:
+        repeats.CHOSEN = chosen
+
+
 def test_empty_tables(docs):
     assert suffix_sort.substring_digests(docs.limit(0)).count() == 0
     assert suffix_tree.strip_repeats(docs.limit(0)).count() == 0
