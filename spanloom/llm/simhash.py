@@ -8,7 +8,11 @@ gives at most m - 1 rows, never all pairs. Components are found by alternating l
 
 Nulls, blanks and texts of no word have fingerprint zero and link like any other; a text of fewer words than a shingle is
 one shingle. Repeated shingles count as often as they occur. An empty table gives an empty result; rows of one id stay
-separate rows; columns other than the id and the text are not read.
+separate rows; columns other than the id and the text are not read. A component has the smallest id there is for its name,
+so ties do not arise; null ids name a component only if it has no other.
+
+``copies`` finds near duplicates by the similarity of their shingle sets. Fingerprints link most of them first; no bound on differing
+bits reaches every pair of a given similarity, so an exact filter on shingles finds the rest.
 """
 
 from __future__ import annotations
@@ -226,45 +230,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, words: int = 8) -> bytes:
-    """A SimHash of ``64 * words`` bits; each 64 of them come from one more mix of the shingle's hash."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return bytes(8 * words)
-    shingle = min(shingle, len(parts))
-    ones, total = np.zeros((words, BITS), np.int64), len(parts) - shingle + 1
-    for at in range(0, total, SLAB):
-        part = parts[at : at + SLAB + shingle - 1]
-        h = np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(part[i:] for i in range(shingle)))), repeat(42)), np.uint64)
-        for k in range(words):
-            x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > total, bitorder="little").tobytes()
-
-
-def _pairs(t: dict[str, np.ndarray], percent: int, reach: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(t: dict[str, np.ndarray], percent: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the candidates among rows that are sorted by key and size; rows over ``reach`` places apart are not compared.
 
-    Two sets of together n members whose similarity reaches the bound differ in at most n (100 - percent) / (100 + percent)
-    members, so their parities cannot differ in more bits. The lesser set must have the key among its first ``lead`` members.
+    The lesser set must have the key among its first members that serve for larger ones (``meta`` is odd), and sizes must allow
+    the similarity. Where rows have a ``root`` only those of different roots are compared, and where they have parities
+    ``w0`` to ``w3`` only those whose bits allow it: sets of together n members whose similarity reaches the bound differ
+    in at most n (100 - percent) / (100 + percent) members, so their parities cannot differ in more bits.
     """
-    key, size, parity = t["key"], t["size"].astype(np.int64), np.stack([t[f"w{k}"].view(np.uint64) for k in range(4)], 1)
+    key, size = t["key"], t["meta"].astype(np.int64) >> 1
+    root, parity = t.get("root"), np.stack([t[f"w{k}"].view(np.uint64) for k in range(4)], 1) if "w0" in t else None
     bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     end = np.repeat(np.append(bounds[1:], len(key)), np.diff(np.append(bounds, len(key))))
     left, right, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
-    live = np.flatnonzero(t["lead"] & (np.arange(len(key)) + 1 < end))
+    live = np.flatnonzero((t["meta"] & 1 == 1) & (np.arange(len(key)) + 1 < end))
     while len(live) and step <= reach:
         live = live[size[live + step] * percent <= 100 * size[live]]
         for part in np.array_split(live, len(live) // (1 << 16) + 1):
             if root is not None:
                 part = part[root[part] != root[part + step]]
-            bits = np.bitwise_count(parity[part] ^ parity[part + step]).sum(1, dtype=np.int64)
-            near = part[bits * (100 + percent) <= (size[part] + size[part + step]) * (100 - percent)]
-            left.append(near)
-            right.append(near + step)
+            if parity is not None:
+                bits = np.bitwise_count(parity[part] ^ parity[part + step]).sum(1, dtype=np.int64)
+                part = part[bits * (100 + percent) <= (size[part] + size[part + step]) * (100 - percent)]
+            left.append(part)
+            right.append(part + step)
         step += 1
         live = live[live + step < end[live]]
     return np.concatenate(left), np.concatenate(right)
@@ -288,16 +277,30 @@ def _whole_keys(batches):
         yield rest
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The hashes of a text's distinct shingles, sorted; a text of fewer words, or none, is one shingle."""
+def _hashes(text: str | None, shingle: int):
+    """The hashes of a text's shingles, a slab at a time; a text of fewer words, or none, is one shingle."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if len(parts) < shingle:
-        return np.array([xxh64_intdigest(b" ".join(parts), 42)], np.uint64)
-    total, out = len(parts) - shingle + 1, []
-    for at in range(0, total, SLAB):
+        yield np.array([xxh64_intdigest(b" ".join(parts), 42)], np.uint64)
+        return
+    for at in range(0, len(parts) - shingle + 1, SLAB):
         part = parts[at : at + SLAB + shingle - 1]
-        out.append(np.unique(np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(part[i:] for i in range(shingle)))), repeat(42)), np.uint64)))
-    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
+        yield np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(part[i:] for i in range(shingle)))), repeat(42)), np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted."""
+    return described(text, shingle)[0]
+
+
+def described(text: str | None, shingle: int = 5) -> tuple[np.ndarray, int]:
+    """The hashes of a text's distinct shingles, sorted, and the fingerprint of all of them."""
+    sets, ones, total = [], np.zeros(BITS, np.int64), 0
+    for h in _hashes(text, shingle):
+        sets.append(np.unique(h))
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        total += len(h)
+    return sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets)), int(np.packbits(ones * 2 > total, bitorder="little").view(np.int64)[0])
 
 
 def similar(one: np.ndarray, two: np.ndarray, percent: int = 80) -> bool:
@@ -352,31 +355,44 @@ def prefix(members: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent:
     return members[: n + (-percent * n // 100) + 1], n + (-2 * percent * n // (100 + percent)) + 1
 
 
-def copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, component_id) of the documents that are not the smallest of their near-duplicate component.
+PARITY = ["w0", "w1", "w2", "w3"]
 
-    Texts are linked if their sets of shingles have a Jaccard similarity of at least ``percent`` in a hundred. No such pair is left out:
-    in any order of all shingles two similar sets share one of their first members (``prefix``), and each distinct set is dealt
-    out under these. Candidates of one key pass bounds on size and on the parity of the members' bits, then the texts decide.
-    Of a key with over ``MANY`` rows only neighbours are compared at first; once their links are known, all pairs
-    that these leave in different components are. Rows without an id take no part.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "copies")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+def describe(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, fp, sim, size, leads, w0 .. w3, keys) of (doc_id, text) rows: the digest of the shingle set, its fingerprint, the number
+    of shingles, how many of the keys serve for larger sets, the parities of 256 classes of shingles, and the first members."""
     common = common_shingles(rows, shingle)
 
-    def describe(batches):
+    def run(batches):
         for b in text_batches(batches):
-            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            found = [described(t, shingle) for t in b.column(1).to_pylist()]
+            sets = [x for x, _ in found]
             firsts = [prefix(x, common, percent) for x in sets]
             bits = np.stack([np.packbits(np.bincount((x & np.uint64(255)).view(np.int64), minlength=256) & 1).view(np.int64) for x in sets])
             ends = np.cumsum([0, *(len(f) for f, _ in firsts)])
-            columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([n for _, n in firsts], pa.int32())]
+            columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([sim for _, sim in found], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([n for _, n in firsts], pa.int32())]
             columns += [pa.array(bits[:, k]) for k in range(4)]
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f for f, _ in firsts]).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "size", "leads", "w0", "w1", "w2", "w3", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "sim", "size", "leads", *PARITY, "keys"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sim bigint, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, keys array<bigint>")
+
+
+def fingerprint_links(fps: DataFrame, distance: int) -> DataFrame:
+    """(a, b) of documents whose fingerprints lie within ``distance``, enough of them to connect all such; by pigeonhole blocks."""
+    own = fps.groupBy("sim", "fp").agg(F.min(F.col("doc_id").cast("bigint")).alias("node"))
+    first = own.groupBy("sim").agg(F.min("node").alias("first"))
+    close = links(fps.select(F.col("sim").alias("fp")).distinct(), distance, blocks_for(first.count(), distance))
+    one, two = first.withColumnsRenamed({"sim": "fp", "first": "a"}), first.withColumnsRenamed({"sim": "root", "first": "b"})
+    across = close.join(one, "fp").join(two, "root").select("a", "b")
+    within = own.join(first, "sim").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return across.union(within).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def candidates(fps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) candidates that share one of their first members, and, with b null, (key, node as a, meta) of each row of a key that has
+    over ``MANY`` of them, where only neighbours are candidates yet. A row is dealt out with its size alone: 20 bytes."""
 
     def compare(batches):
         for table in _whole_keys(batches):
@@ -385,34 +401,48 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             count = np.diff(np.append(first, len(t["key"])))
             crowded = np.repeat(count > MANY, count)
             a, b = _pairs(t, percent, MANY)
-            near = ~crowded[a] | (b - a <= NEIGHBOURS)
+            near = (~crowded[a] | (b - a <= NEIGHBOURS)) & (t["node"][a] != t["node"][b])
             a, b = t["node"][a[near]], t["node"][b[near]]
             rest = table.filter(pa.array(crowded))
-            none = lambda n, like: pa.nulls(n, like)
-            columns = [pa.chunked_array([pa.array(np.minimum(a, b)), *rest.column("node").chunks]), pa.chunked_array([pa.array(np.maximum(a, b)), none(len(rest), pa.int64())])]
-            columns += [pa.chunked_array([none(len(a), rest.column(c).type), *rest.column(c).chunks]) for c in ("key", "size", "lead", "w0", "w1", "w2", "w3")]
-            yield from pa.Table.from_arrays(columns, names=["a", "b", "key", "size", "lead", "w0", "w1", "w2", "w3"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+            columns = [pa.chunked_array([pa.array(np.minimum(a, b)), *rest.column("node").chunks]), pa.chunked_array([pa.array(np.maximum(a, b)), pa.nulls(len(rest), pa.int64())])]
+            columns += [pa.chunked_array([pa.nulls(len(a), rest.column(c).type), *rest.column(c).chunks]) for c in ("key", "meta")]
+            yield from pa.Table.from_arrays(columns, names=["a", "b", "key", "meta"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("bigint").alias("node"), "size", "leads", "keys")).alias("x")).select("x.*")
+    dealt = sets.select("node", "size", "leads", F.posexplode("keys").alias("at", "key")).select("key", "node", F.expr("2 * size + int(at < leads)").alias("meta"))
+    return dealt.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").mapInArrow(compare, "a bigint, b bigint, key bigint, meta int")
 
-    def compare_rest(batches):
-        for table in _whole_keys(batches):
-            t = {c: table.column(c).to_numpy() for c in table.column_names}
-            a, b = _pairs(t, percent, len(t["key"]), t["root"])
-            a, b = t["node"][a], t["node"][b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int = 3) -> DataFrame:
+    """(doc_id, component_id) of the documents that are not the smallest of their near-duplicate component.
+
+    Texts are linked if their sets of shingles have a Jaccard similarity of at least ``percent`` in a hundred, and no such pair is
+    left out. Fingerprints within ``distance`` bits, found by pigeonhole blocks, give most links at little cost. For the
+    rest, in any order of all shingles two similar sets share one of their first members (``prefix``), and each distinct set is
+    dealt out under these. Candidates pass bounds on size and parity, those between components that are not known to be one yet
+    are compared, and the texts decide. Of a key with over ``MANY`` rows only neighbours are compared at first; once their links are known,
+    all pairs that these leave in different components are.
+
+    Rows without an id take no part and stay. A null text is empty; texts of fewer words than a shingle are one shingle, so empty ones
+    are copies of each other. An empty table gives no rows; other columns are not read.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fps = scratch.keep(rows.mapInArrow(describe, f"doc_id {kind}, fp binary, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, keys array<bigint>"), "fps")
-    bits = ["w0", "w1", "w2", "w3"]
-    sets = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("bigint").alias("node"), "size", "leads", *bits, "keys")).alias("x"))
-    dealt = sets.select("x.*").select("node", "size", "leads", *bits, F.posexplode("keys").alias("at", "key")).select("key", "node", "size", F.expr("at < leads").alias("lead"), *bits)
-    met = dealt.repartition(parts, "key").sortWithinPartitions("key", "size", "node").mapInArrow(compare, "a bigint, b bigint, key bigint, size int, lead boolean, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
-    met = scratch.keep(met, "met")
-    pairs = scratch.keep(met.where("b is not null and a <> b").select("a", "b").distinct(), "pairs")
-    crowds = met.where("b is null").select("key", F.col("a").alias("node"), "size", "lead", *bits)
-    needed = pairs.select("a").union(pairs.select("b")).union(crowds.select("node")).distinct()
-    texts = scratch.keep(rows.withColumn("a", F.col("doc_id").cast("bigint")).join(needed, "a", "left_semi").select("doc_id", "text"), "texts")
-    # one candidate of each text is checked first; of the others only those between different components can add anything
-    linked = scratch.keep(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, shingle, percent), "linked0")
+    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    fps = scratch.keep(describe(rows, shingle, percent), "fps")
+    node = F.col("doc_id").cast("bigint")
+    met = scratch.keep(candidates(fps, percent), "met")
+    bits = lambda c: fps.select(node.alias(c), F.struct("size", *PARITY).alias("of_" + c))
+    differ = "+".join(f"bit_count(of_a.{w} ^ of_b.{w})" for w in PARITY)
+    pairs = met.where("b is not null").select("a", "b").distinct().join(bits("a"), "a").join(bits("b"), "b")
+    pairs = scratch.keep(pairs.where(f"({differ}) * {100 + percent} <= (of_a.size + of_b.size) * {100 - percent}").select("a", "b"), "pairs")
+    crowds = met.where("b is null").select("key", F.col("a").alias("node"), "meta")
+    close = scratch.keep(fingerprint_links(fps, distance), "close")
+    needed = pairs.select("a").union(pairs.select("b")).union(crowds.select("node")).union(close.select("a")).union(close.select("b")).distinct()
+    texts = scratch.keep(rows.withColumn("a", node).join(needed, "a", "left_semi").select("doc_id", "text"), "texts")
+    linked = scratch.keep(verified(close, texts, shingle, percent), "linked0")
     roots = scratch.keep(components(linked, scratch), "roots0")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
     across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
@@ -420,211 +450,19 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     roots = components(linked, scratch)
     if not crowds.isEmpty():
         roots = scratch.keep(roots, "roots1")
-        apart = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = apart.repartition(parts, "key").sortWithinPartitions("key", "size", "node").select("key", "node", "size", "lead", *bits, "root").mapInArrow(compare_rest, "a bigint, b bigint")
-        more = verified(more.where("a <> b").distinct(), texts, shingle, percent)
-        roots = components(linked.union(more), scratch)
-    scratch.drop("met", "pairs", "texts")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = links(fps.select("fp").distinct(), distance, blocks).withColumnsRenamed({"fp": "a", "root": "b"})
-    roots = components(edges, scratch)
-    classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = classes.select("fp", "root").join(first, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def wide_fingerprint(text: str | None, shingle: int = 5, words: int = 8) -> bytes:
-    """A SimHash of ``64 * words`` bits; each 64 of them come from one more mix of the shingle's hash."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return bytes(8 * words)
-    shingle = min(shingle, len(parts))
-    ones, total = np.zeros((words, BITS), np.int64), len(parts) - shingle + 1
-    for at in range(0, total, SLAB):
-        part = parts[at : at + SLAB + shingle - 1]
-        h = np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(part[i:] for i in range(shingle)))), repeat(42)), np.uint64)
-        for k in range(words):
-            x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > total, bitorder="little").tobytes()
-
-
-def _pairs(t: dict[str, np.ndarray], percent: int, reach: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the candidates among rows that are sorted by key and size; rows over ``reach`` places apart are not compared.
-
-    Two sets of together n members whose similarity reaches the bound differ in at most n (100 - percent) / (100 + percent)
-    members, so their parities cannot differ in more bits. The lesser set must have the key among its first ``lead`` members.
-    """
-    key, size, parity = t["key"], t["size"].astype(np.int64), np.stack([t[f"w{k}"].view(np.uint64) for k in range(4)], 1)
-    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    end = np.repeat(np.append(bounds[1:], len(key)), np.diff(np.append(bounds, len(key))))
-    left, right, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
-    live = np.flatnonzero(t["lead"] & (np.arange(len(key)) + 1 < end))
-    while len(live) and step <= reach:
-        live = live[size[live + step] * percent <= 100 * size[live]]
-        for part in np.array_split(live, len(live) // (1 << 16) + 1):
-            if root is not None:
-                part = part[root[part] != root[part + step]]
-            bits = np.bitwise_count(parity[part] ^ parity[part + step]).sum(1, dtype=np.int64)
-            near = part[bits * (100 + percent) <= (size[part] + size[part + step]) * (100 - percent)]
-            left.append(near)
-            right.append(near + step)
-        step += 1
-        live = live[live + step < end[live]]
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _whole_keys(batches):
-    """Tables of the rows of whole keys, where the rows of a key follow each other."""
-    rest = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        table = pa.Table.from_batches([b])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        key = table.column("key").to_numpy()
-        last = np.flatnonzero(key != key[-1])
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield table.slice(0, cut)
-        rest = table.slice(cut)
-    if rest is not None:
-        yield rest
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The hashes of a text's distinct shingles, sorted; a text of fewer words, or none, is one shingle."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(parts) < shingle:
-        return np.array([xxh64_intdigest(b" ".join(parts), 42)], np.uint64)
-    total, out = len(parts) - shingle + 1, []
-    for at in range(0, total, SLAB):
-        part = parts[at : at + SLAB + shingle - 1]
-        out.append(np.unique(np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(part[i:] for i in range(shingle)))), repeat(42)), np.uint64)))
-    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
-
-
-def similar(one: np.ndarray, two: np.ndarray, percent: int = 80) -> bool:
-    """Whether two shingle sets have a Jaccard similarity of at least ``percent`` in a hundred."""
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return (100 + percent) * both >= percent * (len(one) + len(two))
-
-
-def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs``, ids of (doc_id, text) ``rows``, whose texts are similar by their whole shingle sets."""
-
-    def check(batches):
-        sets = lru_cache(256)(lambda text: shingle_set(text, shingle))
-        for x in batches:
-            ok = [similar(sets(one), sets(two), percent) for one, two in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
-            yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    ids = F.col("doc_id").cast("bigint")
-    both = pairs.join(rows.select(ids.alias("a"), F.col("text").alias("one")), "a").join(rows.select(ids.alias("b"), F.col("text").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(check, "a bigint, b bigint")
-
-
-def common_shingles(rows: DataFrame, shingle: int, part: int = 64, least: int = 3, most: int = 200000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles that are most frequent in one of ``part`` documents, and how many of these have each.
-
-    They only say in which order shingles are taken. Any order gives the same links; one that takes rare shingles first has few candidates.
-    """
-
-    def run(batches):
-        for b in text_batches(batches):
-            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("text").mapInArrow(run, "h bigint, n bigint")
-    top = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h, n = top.column("h").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+        apart = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(fps.select(node.alias("node"), *PARITY), "node")
 
+        def compare_rest(batches):
+            for table in _whole_keys(batches):
+                t = {c: table.column(c).to_numpy() for c in table.column_names}
+                a, b = _pairs(t, percent, len(t["key"]))
+                a, b = t["node"][a], t["node"][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-def prefix(members: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
-    """The members of a set of which it shares one with every larger similar set, and how many serve for larger sets alone.
-
-    With o members shared, the first of them in a common order has o - 1 behind it. Of a set of n members
-    o is at least n percent / 100, and against a set that is not smaller 2 n percent / (100 + percent).
-    """
-    n = len(members)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], members), len(common[0]) - 1)
-        members = members[np.lexsort((members, np.where(common[0][at] == members, common[1][at], 0)))]
-    return members[: n + (-percent * n // 100) + 1], n + (-2 * percent * n // (100 + percent)) + 1
-
-
-def copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, component_id) of the documents that are not the smallest of their near-duplicate component.
-
-    Texts are linked if their sets of shingles have a Jaccard similarity of at least ``percent`` in a hundred. No such pair is left out:
-    in any order of all shingles two similar sets share one of their first members (``prefix``), and each distinct set is dealt
-    out under these. Candidates of one key pass bounds on size and on the parity of the members' bits, then the texts decide.
-    Of a key with over ``MANY`` rows only neighbours are compared at first; once their links are known, all pairs
-    that these leave in different components are. Rows without an id take no part.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "copies")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    common = common_shingles(rows, shingle)
-
-    def describe(batches):
-        for b in text_batches(batches):
-            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            firsts = [prefix(x, common, percent) for x in sets]
-            bits = np.stack([np.packbits(np.bincount((x & np.uint64(255)).view(np.int64), minlength=256) & 1).view(np.int64) for x in sets])
-            ends = np.cumsum([0, *(len(f) for f, _ in firsts)])
-            columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([n for _, n in firsts], pa.int32())]
-            columns += [pa.array(bits[:, k]) for k in range(4)]
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f for f, _ in firsts]).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "size", "leads", "w0", "w1", "w2", "w3", "keys"])
-
-    def compare(batches):
-        for table in _whole_keys(batches):
-            t = {c: table.column(c).to_numpy() for c in table.column_names}
-            first = np.flatnonzero(np.concatenate(([True], t["key"][1:] != t["key"][:-1])))
-            count = np.diff(np.append(first, len(t["key"])))
-            crowded = np.repeat(count > MANY, count)
-            a, b = _pairs(t, percent, MANY)
-            near = ~crowded[a] | (b - a <= NEIGHBOURS)
-            a, b = t["node"][a[near]], t["node"][b[near]]
-            rest = table.filter(pa.array(crowded))
-            none = lambda n, like: pa.nulls(n, like)
-            columns = [pa.chunked_array([pa.array(np.minimum(a, b)), *rest.column("node").chunks]), pa.chunked_array([pa.array(np.maximum(a, b)), none(len(rest), pa.int64())])]
-            columns += [pa.chunked_array([none(len(a), rest.column(c).type), *rest.column(c).chunks]) for c in ("key", "size", "lead", "w0", "w1", "w2", "w3")]
-            yield from pa.Table.from_arrays(columns, names=["a", "b", "key", "size", "lead", "w0", "w1", "w2", "w3"]).combine_chunks().to_batches(max_chunksize=1 << 16)
-
-    def compare_rest(batches):
-        for table in _whole_keys(batches):
-            t = {c: table.column(c).to_numpy() for c in table.column_names}
-            a, b = _pairs(t, percent, len(t["key"]), t["root"])
-            a, b = t["node"][a], t["node"][b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fps = scratch.keep(rows.mapInArrow(describe, f"doc_id {kind}, fp binary, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, keys array<bigint>"), "fps")
-    bits = ["w0", "w1", "w2", "w3"]
-    sets = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("bigint").alias("node"), "size", "leads", *bits, "keys")).alias("x"))
-    dealt = sets.select("x.*").select("node", "size", "leads", *bits, F.posexplode("keys").alias("at", "key")).select("key", "node", "size", F.expr("at < leads").alias("lead"), *bits)
-    met = dealt.repartition(parts, "key").sortWithinPartitions("key", "size", "node").mapInArrow(compare, "a bigint, b bigint, key bigint, size int, lead boolean, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
-    met = scratch.keep(met, "met")
-    pairs = met.where("b is not null and a <> b").select("a", "b").distinct()
-    linked = scratch.keep(verified(pairs, rows, shingle, percent), "linked")
-    roots = components(linked, scratch)
-    crowds = met.where("b is null").select("key", F.col("a").alias("node"), "size", "lead", *bits)
-    if not crowds.isEmpty():
-        roots = scratch.keep(roots, "roots")
-        apart = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = apart.repartition(parts, "key").sortWithinPartitions("key", "size", "node").select("key", "node", "size", "lead", *bits, "root").mapInArrow(compare_rest, "a bigint, b bigint")
-        more = verified(more.where("a <> b").distinct(), rows, shingle, percent)
+        more = apart.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").select("key", "node", "meta", *PARITY, "root").mapInArrow(compare_rest, "a bigint, b bigint")
+        more = verified(more.where("a <> b").distinct(), texts, shingle, percent)
         roots = components(linked.union(more), scratch)
+    scratch.drop("met", "pairs", "close", "texts")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"))
     # only classes that lose a document, written so that the join has an exchange of its own on this side and can split a class
     classes = distinct.join(roots, "node", "left").where("n > 1 or root is not null").select("fp", F.coalesce("root", "node").alias("component_id"))

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import simhash
+from spanloom.tables import table
 
 
 def shingles(text, k=5):
@@ -69,3 +72,34 @@ def test_components_against_all_pairs(spark):
     rows = list(enumerate(texts))
     gone = {x.doc_id: x.component_id for x in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert gone == want and len(want) > 100
+
+
+def test_candidates_grow_with_the_table(spark):
+    """Candidates for a document stay as few on a table ten times larger, and an oversized key is not compared pair by pair."""
+    each = []
+    for sf in ("sf0.01", "sf0.1"):
+        docs = table(spark, f"/root/testdata/{sf}", "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        met = simhash.candidates(simhash.describe(docs, 5, 80), 80)
+        each.append(met.where("b is not null").select("a", "b").distinct().count() / docs.count())
+    assert each[1] <= 2 * each[0] + 0.5, each
+    word = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(4))
+    rows = [(i, "one line that all of them begin with " + " ".join(word(5 * i + j) for j in range(5))) for i in range(3000)]
+    met = simhash.candidates(simhash.describe(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80), 80)
+    assert met.where("b is not null").count() <= 20 * len(rows)
+
+
+def test_fingerprints_link_only_what_they_should(spark):
+    """The links that pigeonhole blocks give are those of all pairs within the distance, up to what connects them."""
+    rows = planted(0.95, 0.985, 80, 400, 9) + [(200 + i, f"some words that stay {i % 3}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = simhash.describe(docs, 5, 80).select("doc_id", "sim", "fp").collect()
+    made = simhash.fingerprint_links(simhash.describe(docs, 5, 80), 3).collect()
+    sim = {r.doc_id: r.sim & (1 << 64) - 1 for r in fps}
+    first = {}
+    for r in sorted(fps, key=lambda r: r.doc_id):
+        first.setdefault(bytes(r.fp), r.doc_id)
+    ids = sorted(first.values())
+    want = [(ids.index(a), ids.index(b)) for a in ids for b in ids if b < a and (sim[a] ^ sim[b]).bit_count() <= 3]
+    root = simhash.labels(len(ids), *([x[k] for x in want] for k in (0, 1))) if want else []
+    got = [(ids.index(r.a), ids.index(r.b)) for r in made]
+    assert len(want) > 5 and simhash.labels(len(ids), *([x[k] for x in got] for k in (0, 1))).tolist() == root.tolist()
