@@ -444,12 +444,13 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     texts = scratch.keep(rows.withColumn("a", node).join(needed, "a", "left_semi").select("doc_id", "text"), "texts")
     linked = scratch.keep(verified(close, texts, shingle, percent), "linked0")
     roots = scratch.keep(components(linked, scratch), "roots0")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-    across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    linked = scratch.keep(linked.union(verified(across, texts, shingle, percent)), "linked1")
-    roots = components(linked, scratch)
+    # of the rest one candidate of each text is compared first, then those that this leaves apart: few texts travel twice
+    for turn, pick in ((1, lambda x: x.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), (2, lambda x: x)):
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+        across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+        linked = scratch.keep(linked.union(verified(pick(across), texts, shingle, percent)), f"linked{turn}")
+        roots = scratch.keep(components(linked, scratch), f"roots{turn}")
     if not crowds.isEmpty():
-        roots = scratch.keep(roots, "roots1")
         apart = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(fps.select(node.alias("node"), *PARITY), "node")
 
         def compare_rest(batches):
