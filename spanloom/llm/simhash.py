@@ -359,24 +359,53 @@ PARITY = ["w0", "w1", "w2", "w3"]
 
 
 def describe(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, fp, sim, size, leads, w0 .. w3, keys) of (doc_id, text) rows: the digest of the shingle set, its fingerprint, the number
-    of shingles, how many of the keys serve for larger sets, the parities of 256 classes of shingles, and the first members."""
+    """(doc_id, fp, sim, size, leads, w0 .. w3, parity, keys) of (doc_id, text) rows: the digest of the shingle set, its fingerprint, the
+    number of shingles, how many of the keys serve for larger sets, the parities of 256 classes of shingles and of more classes
+    than there are shingles, and the first members."""
     common = common_shingles(rows, shingle)
 
+    def parities(x: np.ndarray) -> np.ndarray:
+        """The parity of the number of members in each class of equal low bits, in bytes; a power of two of them."""
+        classes = max(256, 1 << (3 * len(x) // 2).bit_length())
+        return np.packbits(np.bincount((x & np.uint64(classes - 1)).view(np.int64), minlength=classes).astype(np.uint8) & 1, bitorder="little")
+
     def run(batches):
         for b in text_batches(batches):
             found = [described(t, shingle) for t in b.column(1).to_pylist()]
             sets = [x for x, _ in found]
             firsts = [prefix(x, common, percent) for x in sets]
-            bits = np.stack([np.packbits(np.bincount((x & np.uint64(255)).view(np.int64), minlength=256) & 1).view(np.int64) for x in sets])
+            wide = [parities(x) for x in sets]
+            bits = np.stack([folded(x, 32).view(np.int64) for x in wide])
             ends = np.cumsum([0, *(len(f) for f, _ in firsts)])
             columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([sim for _, sim in found], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([n for _, n in firsts], pa.int32())]
-            columns += [pa.array(bits[:, k]) for k in range(4)]
+            columns += [*(pa.array(bits[:, k]) for k in range(4)), pa.array([x.tobytes() for x in wide], pa.binary())]
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f for f, _ in firsts]).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "sim", "size", "leads", *PARITY, "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "sim", "size", "leads", *PARITY, "parity", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sim bigint, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sim bigint, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, parity binary, keys array<bigint>")
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """Parities of as many classes as ``size`` bytes hold, from those of more."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
+
+
+def sieved(pairs: DataFrame, fps: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sizes and parities allow the similarity, which is as far as anything but the texts can tell."""
+    of = lambda c: fps.select(F.col("doc_id").cast("bigint").alias(c), F.col("size").alias("size_" + c), F.col("parity").alias("parity_" + c))
+
+    def run(batches):
+        for x in batches:
+            ok = []
+            for m, n, p, q in zip(*(x.column(k).to_pylist() for k in range(2, 6))):
+                size = min(len(p), len(q))
+                differ = folded(np.frombuffer(p, np.uint8), size) ^ folded(np.frombuffer(q, np.uint8), size)
+                ok.append(int(np.bitwise_count(differ.view(np.uint64)).sum()) * (100 + percent) <= (m + n) * (100 - percent))
+            yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "size_a", "size_b", "parity_a", "parity_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def fingerprint_links(fps: DataFrame, distance: int) -> DataFrame:
@@ -434,22 +463,17 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     fps = scratch.keep(describe(rows, shingle, percent), "fps")
     node = F.col("doc_id").cast("bigint")
     met = scratch.keep(candidates(fps, percent), "met")
-    bits = lambda c: fps.select(node.alias(c), F.struct("size", *PARITY).alias("of_" + c))
-    differ = "+".join(f"bit_count(of_a.{w} ^ of_b.{w})" for w in PARITY)
-    pairs = met.where("b is not null").select("a", "b").distinct().join(bits("a"), "a").join(bits("b"), "b")
-    pairs = scratch.keep(pairs.where(f"({differ}) * {100 + percent} <= (of_a.size + of_b.size) * {100 - percent}").select("a", "b"), "pairs")
+    pairs = scratch.keep(sieved(met.where("b is not null").select("a", "b").distinct(), fps, percent), "pairs")
     crowds = met.where("b is null").select("key", F.col("a").alias("node"), "meta")
     close = scratch.keep(fingerprint_links(fps, distance), "close")
     needed = pairs.select("a").union(pairs.select("b")).union(crowds.select("node")).union(close.select("a")).union(close.select("b")).distinct()
     texts = scratch.keep(rows.withColumn("a", node).join(needed, "a", "left_semi").select("doc_id", "text"), "texts")
     linked = scratch.keep(verified(close, texts, shingle, percent), "linked0")
     roots = scratch.keep(components(linked, scratch), "roots0")
-    # of the rest one candidate of each text is compared first, then those that this leaves apart: few texts travel twice
-    for turn, pick in ((1, lambda x: x.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), (2, lambda x: x)):
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-        across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-        linked = scratch.keep(linked.union(verified(pick(across), texts, shingle, percent)), f"linked{turn}")
-        roots = scratch.keep(components(linked, scratch), f"roots{turn}")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    linked = scratch.keep(linked.union(verified(across, texts, shingle, percent)), "linked1")
+    roots = scratch.keep(components(linked, scratch), "roots1")
     if not crowds.isEmpty():
         apart = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(fps.select(node.alias("node"), *PARITY), "node")
 
@@ -461,7 +485,7 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         more = apart.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").select("key", "node", "meta", *PARITY, "root").mapInArrow(compare_rest, "a bigint, b bigint")
-        more = verified(more.where("a <> b").distinct(), texts, shingle, percent)
+        more = verified(sieved(more.where("a <> b").distinct(), fps, percent), texts, shingle, percent)
         roots = components(linked.union(more), scratch)
     scratch.drop("met", "pairs", "close", "texts")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"))
