@@ -475,7 +475,10 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     linked = scratch.keep(linked.union(verified(across, texts, shingle, percent)), "linked1")
     roots = scratch.keep(components(linked, scratch), "roots1")
     if not crowds.isEmpty():
-        apart = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(fps.select(node.alias("node"), *PARITY), "node")
+        named = scratch.keep(crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+        # most keys of a large group hold one component by now and have nothing left to compare
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        apart = named.join(mixed, "key").join(fps.select(node.alias("node"), *PARITY), "node")
 
         def compare_rest(batches):
             for table in _whole_keys(batches):
