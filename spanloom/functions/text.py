@@ -13,20 +13,76 @@ from pyspark.sql import types as T
 #: Characters whose ASCII form is not their base letter.
 SPECIAL = {
     "ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "Ł": "L", "ł": "l", "ı": "i",
-    "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "•": "*", "×": "x", "÷": "/", " ": " ", "«": "<<", "»": ">>", "¡": "!", "¿": "?",
+    "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "•": "*", "×": "x", "÷": "/", "\xa0": " ", "«": "<<", "»": ">>", "¡": "!", "¿": "?",
+    "€": "EUR", "£": "PS", "¥": "Y=", "©": "(c)", "®": "(r)", "°": "deg", "§": "SS", "¶": "P", "±": "+-", "·": "*", "µ": "u",
 }
+#: Greek and Cyrillic letters; capitals follow from the small ones.
+SCRIPTS = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s",
+    "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s",
+    "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ї": "i", "ґ": "g",
+}
+#: The parts that Unicode composes a Hangul syllable of, first, middle and last.
+HANGUL = (
+    "g gg n d dd r m b bb s ss - j jj c k t p h".replace("-", "").split(" "),
+    "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split(" "),
+    " g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split(" "),
+)
 SPACE = r"[\s\x1c-\x1f]+"
 
 
+def _ascii(s: str) -> str:
+    return "".join(c for c in s.replace("\u2044", "/") if c.isascii())
+
+
 @lru_cache(maxsize=1)
 def transliteration() -> dict[str, str]:
-    """ASCII forms of Latin letters, by their canonical decomposition, and of ``SPECIAL``; pass another for other scripts."""
+    """ASCII forms, by rule where there is one: letters by their canonical decomposition, forms that stand for others (fractions,
+    ligatures, superscripts, full widths) by the compatible one, and kana by their names. Pass another table for other scripts."""
     out = dict(SPECIAL)
-    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+    for k, v in SCRIPTS.items():
+        out[k] = v
+        if k.upper() != k:
+            out.setdefault(k.upper(), v.capitalize())
+    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x2000), *range(0x370, 0x500)):
         base = unicodedata.normalize("NFD", chr(i))[0]
-        if base.isascii() and chr(i) not in out:
-            out[chr(i)] = base
-    return out
+        if chr(i) not in out and (base.isascii() or base in out):
+            out[chr(i)] = out.get(base, base)
+    for i in (*range(0xA0, 0x100), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        plain = unicodedata.normalize("NFKC", chr(i))
+        if chr(i) not in out and plain != chr(i) and (found := _ascii(plain)):
+            out[chr(i)] = found
+    for i in (*range(0x3041, 0x3097), *range(0x30A1, 0x30FB)):
+        out[chr(i)] = unicodedata.name(chr(i)).rpartition(" ")[2].lower()
+    # what is composed otherwise first: a letter and its mark, where the letter alone is written another way
+    pairs = {unicodedata.normalize("NFD", k): v for k, v in out.items() if len(unicodedata.normalize("NFD", k)) == 2}
+    return {k: v for k, v in pairs.items() if v != out.get(k[0], k[0])} | out
+
+
+#: Blocks of characters whose longer forms are looked up one by one; those before are few and replaced in whole texts.
+BLOCKS = ((0x370, 0x500), (0x1E00, 0x2000), (0x2070, 0x2190), (0x3041, 0x30FB), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+
+
+def _other(table: dict[str, str]):
+    """What becomes of a character that is not ASCII yet: its form in a block of the table; a Hangul syllable by its parts; any
+    other letter by its number and a space; marks and signs as nothing."""
+
+    def one(c: Column) -> Column:
+        at = F.ascii(c)
+        out = F.when(F.octet_length(c) == 1, c)
+        for low, high in BLOCKS:
+            forms = [table.get(chr(i)) for i in range(low, high)]
+            if any(forms):
+                form = F.get(F.array(*[F.lit(x).cast("string") for x in forms]), at - low)
+                out = out.when((at >= low) & (at < high) & form.isNotNull(), form)
+        s = at - 0xAC00
+        part = lambda k, i: F.get(F.array(*[F.lit(x) for x in HANGUL[k]]), i.cast("int"))
+        syllable = F.concat(part(0, F.floor(s / 588)), part(1, F.floor(s % 588 / 28)), part(2, s % 28))
+        letter = F.concat(F.lit("u"), F.lower(F.hex(at)), F.lit(" "))
+        return out.when((s >= 0) & (s < 11172), syllable).when(c.rlike(r"^[\p{L}\p{N}]$"), letter).otherwise("")
+
+    return one
 
 
 def squash(c: Column | str) -> Column:
@@ -35,16 +91,21 @@ def squash(c: Column | str) -> Column:
 
 
 def to_ascii(c: Column | str, table: dict[str, str] | None = None) -> Column:
-    """Transliterated text; what the table does not have is dropped. Combining marks go too, so composition is not needed."""
+    """Transliterated text. Letters that the table does not have are written by a rule, so that they still tell words apart;
+    other characters are dropped. Combining marks go too, and letters composed of several characters are in the table."""
     table = transliteration() if table is None else table
-    one = {k: v for k, v in table.items() if len(v) == 1}
-    out = F.translate(c, "".join(one), "".join(one.values()))
-    for k, v in table.items():
-        if len(v) != 1:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    # most texts are ASCII already and skip the walk over the table
+    one = {k: v for k, v in table.items() if len(k) == len(v) == 1}
     source = F.col(c) if isinstance(c, str) else c
-    return F.when(F.octet_length(source) == F.length(source), source).otherwise(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
+    out = source
+    far = {chr(i) for low, high in BLOCKS for i in range(low, high)}
+    many = [(k, v) for k, v in table.items() if k not in one and k not in far]
+    for k, v in sorted(many, key=lambda x: -len(x[0])):
+        out = F.replace(out, F.lit(k), F.lit(v))
+    out = F.translate(out, "".join(one), "".join(one.values()))
+    # most texts are ASCII already and skip the walk over the table, and most others end there
+    plain = lambda x: F.octet_length(x) == F.length(x)
+    rest = F.array_join(F.transform(F.split(out, ""), _other(table)), "")
+    return F.when(plain(source), source).otherwise(F.when(plain(out), out).otherwise(rest))
 
 
 def norm_text(c: Column | str, table: dict[str, str] | None = None, strict: bool = False) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import text
+from spanloom.tables import Scratch
 
 ANSWER = T.StructType([T.StructField("text", T.StringType()), T.StructField("answer_start", T.IntegerType())])
 QA = T.StructType([T.StructField("id", T.StringType()), T.StructField("question", T.StringType()), T.StructField("is_impossible", T.BooleanType()), T.StructField("answers", T.ArrayType(ANSWER))])
@@ -54,8 +55,11 @@ def shift(records: DataFrame) -> DataFrame:
 
 
 def add_row_id(records: DataFrame, order: list[str]) -> DataFrame:
-    """Dense numbers from 0 in a given order: ranks within ranges, moved by the sizes of the ranges before."""
+    """Dense numbers from 0 in a given order: ranks within ranges, moved by the sizes of the ranges before.
+
+    The ranges are written first: both branches below read the same ones, whatever is lost and sampled again."""
     ranged = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(records.sparkSession, "row-ids").keep(ranged, "ranges")
     local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = local.groupBy("_part").count()
     # one row for each range
@@ -72,11 +76,17 @@ def group_starts(records: DataFrame) -> DataFrame:
     return records.groupBy("source", "target").agg(F.sort_array(F.collect_set("idx_start")).alias("idx_start"))
 
 
-def aligned_lookup(tdf: DataFrame, wdf: DataFrame) -> DataFrame:
-    """Shifted pairs with the clean pair of the same source and stripped target; duplicates expand, misses are left out."""
+def aligned_lookup(tdf: DataFrame, wdf: DataFrame, strict: bool = False) -> DataFrame:
+    """Shifted pairs with the clean pair of the same source and stripped target; duplicates expand, misses are left out.
+
+    ``strict`` fails on a miss, as soon as a task meets one: every shifted pair is expected to have its clean one."""
     a = tdf.withColumn("_key", F.trim("target"))
     b = wdf.select("source", F.col("target").alias("_key"), F.col("idx_start").alias("clean_starts"))
-    return a.join(b, ["source", "_key"]).drop("_key")
+    if not strict:
+        return a.join(b, ["source", "_key"]).drop("_key")
+    found = a.join(b.withColumn("_hit", F.lit(True)), ["source", "_key"], "left")
+    checked = F.when(F.col("_hit"), F.col("clean_starts")).otherwise(F.raise_error(F.concat(F.lit("no clean pair for: "), F.col("target"))))
+    return found.withColumn("clean_starts", checked).drop("_key", "_hit")
 
 
 def span_mismatches(records: DataFrame) -> DataFrame:
@@ -135,6 +145,7 @@ def ablate_subword(tokenizer, seed: int = 3):
 
 
 def zero_pairs(pairs: DataFrame, alignments: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Pairs that no alignment has, with all their columns: those of an ablation (``ablate_target``, ``ablate_idx``) too."""
     return pairs.join(alignments.select(key).distinct(), key, "left_anti")
 
 

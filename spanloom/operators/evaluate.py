@@ -101,11 +101,16 @@ def coverage(first_tokens: Column, n_target: Column) -> Column:
     return F.when(first_tokens.isNull(), 0.0).otherwise(F.size(F.array_distinct(first_tokens))) / F.nullif(n_target, F.lit(0))
 
 
-def reverse_cdf(df: DataFrame, n: str, key: str) -> DataFrame:
-    """(rank, n): values in falling order. Equal values are one row of the count table, so ranks are running sums of counts."""
+def reverse_cdf(df: DataFrame, n: str, key: str, span: int = 1 << 16) -> DataFrame:
+    """(rank, n): values in falling order. Equal values are one row of the count table, so ranks are running sums of counts.
+
+    Only the count table, one row for each different value, passes one task; its runs of ranks are cut into ranges of ``span``
+    and dealt out before any rank is made."""
     counts = df.groupBy(n).agg(F.count("*").alias("count"))
-    upto = F.sum("count").over(Window.orderBy(F.desc(n)))
-    return counts.withColumn("_upto", upto).select(F.explode(F.sequence(F.col("_upto") - F.col("count") + 1, F.col("_upto"))).alias("rank"), n)
+    upto = counts.withColumn("_upto", F.sum("count").over(Window.orderBy(F.desc(n))))
+    begins = upto.select(n, "_upto", F.explode(F.sequence(F.col("_upto") - F.col("count") + 1, F.col("_upto"), F.lit(span))).alias("_from"))
+    dealt = begins.repartition("_from")
+    return dealt.select(F.explode(F.sequence("_from", F.least("_upto", F.col("_from") + span - 1))).alias("rank"), n)
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -114,3 +119,29 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     lo, hi = (F.lit(x).cast("double") for x in ends)
     at = F.when(lo == hi, 1).otherwise(F.least(F.floor((F.col(value).cast("double") - lo) * bins / F.nullif(hi - lo, F.lit(0.0))) + 1, F.lit(bins)))
     return df.where(F.col(value).isNotNull()).groupBy(at.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def containment(docs: DataFrame, items: DataFrame, inner: int = 4) -> DataFrame:
+    """(doc_id, item_id, start_idx): where each passage of (item_id, passage) first occurs in each of (doc_id, text).
+
+    A text that contains a passage has the passage's inner words, all but its first and last, which may be parts of words there.
+    The first ``inner`` of these are the passage's key, of as many words as there are; a text's runs of words are looked up by
+    an equi-join on the hash of such a key, then the texts decide. Only runs that some passage has are kept before the shuffle if the
+    keys are few enough to be broadcast, which Spark decides by their size. A passage without inner words has its pieces in any text:
+    it is compared with all of them, in as many tasks as there are texts."""
+    w = text.words("passage")
+    keyed = items.where("passage is not null").select("item_id", "passage", F.slice(w, 2, F.greatest(F.least(F.size(w) - 2, F.lit(inner)), F.lit(0))).alias("_key"))
+    keyed = keyed.withColumn("_n", F.size("_key")).withColumn("_hash", F.xxhash64("_key"))
+    words = docs.select("doc_id", "text", text.words("text").alias("_w"))
+    hits = None
+    run_of = lambda n: lambda i: F.xxhash64(F.slice("_w", i, n))
+    for n in range(1, inner + 1):
+        places = F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1)))
+        grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(places, run_of(n)))).alias("_hash"))
+        own = keyed.where(F.col("_n") == n).select("item_id", "_hash")
+        part = grams.join(own, "_hash").select("doc_id", "item_id")
+        hits = part if hits is None else hits.unionByName(part)
+    found = hits.join(keyed.select("item_id", "passage"), "item_id").join(docs, "doc_id")
+    bare = keyed.where("_n = 0").select("item_id", "passage")
+    every = found.select("doc_id", "item_id", "text", "passage").unionByName(docs.join(bare, F.contains("text", F.col("passage"))).select("doc_id", "item_id", "text", "passage"))
+    return every.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id", text.find("text", "passage").alias("start_idx")).distinct()

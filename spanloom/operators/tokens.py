@@ -57,6 +57,20 @@ def subword_tokenizer(rank_path: str, pattern: str):
     return tokenize
 
 
+def subword_arrays(tokenizer):
+    """A function from a column of normalised texts to (ids, tokens, starts), arrays side by side, which expressions read as they are."""
+    tokens_of = tokenizer.tokens_of
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [tokens_of(t) for t in texts]
+        pick = lambda name: [None if r is None else [x[name] for x in r] for r in rows]
+        return pd.DataFrame({"ids": pick("enc_token"), "tokens": pick("token"), "starts": pick("start_idx")})
+
+    return run
+
+
 def subword_tokens(df: DataFrame, key: str, text: str, tokenizer) -> DataFrame:
     """(key, pos, token, enc_token, start_idx, end_idx): subwords of the normalised text, made as Arrow columns."""
     encoding = tokenizer.encoding

@@ -10,11 +10,11 @@ from spanloom.tables import table
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(pair_id, doc_id, source, w): lines of 8 to 400 words with single spaces, and their words."""
+    """(pair_id, doc_id, source, w): lines of 8 words and more, which a target needs, with single spaces, and their words."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("par", "line"))
-    out = lines.select((F.col("doc_id") * 100000 + F.col("par")).alias("pair_id"), "doc_id", text.squash("line").alias("source"))
+    out = lines.select((F.col("doc_id") * 10000000 + F.col("par")).alias("pair_id"), "doc_id", text.squash("line").alias("source"))
     out = out.withColumn("w", F.array_remove(F.split("source", " "), ""))
-    return out.where(F.size("w").between(8, 400))
+    return out.where(F.size("w") >= 8)
 
 
 def pairs(spark: SparkSession, sf_dir: str, ablated: bool = False) -> DataFrame:
