@@ -38,7 +38,12 @@ FEATURES = {
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that rules test."""
+    """``docs`` with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those that rules test.
+
+    Columns of these names are replaced; any other passes, also one that is called like a step in between."""
+    steps = {"_t", "_w", "_n", "_lines", "_h", "_g", "_s", "_d"}
+    aside = {c: f"_aside{c}" for c in docs.columns if c.lower() in steps}
+    docs, text = docs.withColumnsRenamed(aside), aside.get(text, text)
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_t", t).withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
     out = out.withColumn("_n", F.size("_w"))
@@ -65,7 +70,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines").cast("long"),
         "n_distinct": F.size(F.array_distinct("_h")).cast("long"),
     })
-    return out.drop("_t", "_w", "_n", "_lines", "_h", "_g", "_s", "_d")
+    return out.drop(*steps).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def base_failed() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, langid, packing, quality, secrets, simhash, suffix_sort, suffix_tree, topk, warc
 
-EXTRA = ["n_words", "rule", "kept", "fp", "node", "key", "chunk", "_chunk", "bucket", "rank", "part", "length", "score", "_row", "spans", "label", "window"]
+EXTRA = ["n_words", "rule", "kept", "fp", "node", "key", "chunk", "_chunk", "bucket", "rank", "part", "length", "score", "_row", "spans", "label", "window", "_t", "_w", "_n", "_lines", "_h", "_g", "_s", "_d"]
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +41,32 @@ def test_a_row_for_each_document(spark, tables, query):
     assert query(spark, base).count() == n
 
 
+def test_values_of_odd_rows(spark, tables):
+    """What a null, an empty and a repeated text give, not only that they give a row."""
+    import hashlib
+
+    base, n = tables
+    if not n:
+        return
+    none = hashlib.sha256(b"").hexdigest()
+    by_id = lambda query: {(r.doc_id, k): r for k, r in enumerate(sorted(query(spark, base).collect(), key=lambda r: (r.doc_id is None, r.doc_id)))}
+    of = lambda query, i: [r for (d, _), r in by_id(query).items() if d == i]
+    for i in (40, 41):
+        assert tuple(of(suffix_sort.op1_suffix_array, i)[0])[1:] == (0, 0, 0, none)
+        assert tuple(of(suffix_tree.op10_suffix_tree, i)[0])[1:] == (0, 0, none)
+        assert tuple(of(simhash.op4_simhash, i)[0])[1:] == ("0" * 16, 40)
+        assert tuple(of(bpe.op7_byte_bpe, i)[0])[1:4] == (0, none, none)
+        assert tuple(of(secrets.op6_secret_scan, i)[0])[1:] == (0, 0, 0, none, "")
+        r = of(quality.op9_quality_rules, i)[0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (0, 0, 0, 0, 0, True, False)
+        r = of(langid.op3_language_id, i)[0]
+        assert (r.lang_pred, r.score) == ("und", 0.0)
+    # three rows of one id and text leave each other alone, and a row without an id loses what a numbered one has
+    assert [r.n_removed for r in of(suffix_tree.op10_suffix_tree, 5)] == [0, 0, 0]
+    words = {r.n_words: r.n_removed for r in of(suffix_tree.op10_suffix_tree, None)}
+    assert words[0] == 0 and all(n == m for n, m in words.items() if n >= 50)
+
+
 def test_packing_pages_and_vectors(spark, tables):
     base, n = tables
     pieces = packing.op8_packing(spark, base).where("start = 0").count()
