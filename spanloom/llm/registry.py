@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, langid, packing, quality, secrets, simhash, suffix_sort, suffix_tree, topk, warc
+from spanloom.llm import bpe, langid, oracles, packing, quality, secrets, simhash, suffix_sort, suffix_tree, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": suffix_sort.op1_suffix_array,
@@ -22,6 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_tree": suffix_tree.op10_suffix_tree,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op5_exact_topk": topk.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array": oracles.OP1_SQL,
+    "op2_warc": oracles.OP2_SQL,
+    "op4_simhash": oracles.OP4_SQL,
+    "op5_exact_topk": topk.OP5_SQL,
+    "op10_suffix_tree": oracles.OP10_SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
