@@ -36,6 +36,9 @@ SLAB = 1 << 16
 CROWD = 2048
 #: Of a shingle's texts, if there are more than this, only so many neighbours are compared before the rest.
 MANY, NEIGHBOURS = 32, 4
+#: One document in so many is looked at for frequent shingles; the texts of one that has over ``SPLIT`` by that count are dealt over several
+#: tasks at first, and compared in tiles of two times ``TILE`` texts after.
+SAMPLED, SPLIT, TILE = 64, 4096, 2048
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -236,10 +239,11 @@ def _pairs(t: dict[str, np.ndarray], percent: int, reach: int) -> tuple[np.ndarr
     The lesser set must have the key among its first members that serve for larger ones (``meta`` is odd), and sizes must allow
     the similarity. Where rows have a ``root`` only those of different roots are compared, and where they have parities
     ``w0`` to ``w3`` only those whose bits allow it: sets of together n members whose similarity reaches the bound differ
-    in at most n (100 - percent) / (100 + percent) members, so their parities cannot differ in more bits.
+    in at most n (100 - percent) / (100 + percent) members, so their parities cannot differ in more bits. Rows with the same ``side``,
+    if that is not negative, are compared elsewhere.
     """
     key, size = t["key"], t["meta"].astype(np.int64) >> 1
-    root, parity = t.get("root"), np.stack([t[f"w{k}"].view(np.uint64) for k in range(4)], 1) if "w0" in t else None
+    root, side, parity = t.get("root"), t.get("side"), np.stack([t[f"w{k}"].view(np.uint64) for k in range(4)], 1) if "w0" in t else None
     bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     end = np.repeat(np.append(bounds[1:], len(key)), np.diff(np.append(bounds, len(key))))
     left, right, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
@@ -249,6 +253,8 @@ def _pairs(t: dict[str, np.ndarray], percent: int, reach: int) -> tuple[np.ndarr
         for part in np.array_split(live, len(live) // (1 << 16) + 1):
             if root is not None:
                 part = part[root[part] != root[part + step]]
+            if side is not None:
+                part = part[(side[part] != side[part + step]) | (side[part] < 0)]
             if parity is not None:
                 bits = np.bitwise_count(parity[part] ^ parity[part + step]).sum(1, dtype=np.int64)
                 part = part[bits * (100 + percent) <= (size[part] + size[part + step]) * (100 - percent)]
@@ -323,10 +329,11 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
     return both.select("a", "b", "one", "two").mapInArrow(check, "a bigint, b bigint")
 
 
-def common_shingles(rows: DataFrame, shingle: int, part: int = 64, least: int = 3, most: int = 200000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame, shingle: int, part: int = SAMPLED, least: int = 3, most: int = 200000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles that are most frequent in one of ``part`` documents, and how many of these have each.
 
-    They only say in which order shingles are taken. Any order gives the same links; one that takes rare shingles first has few candidates.
+    They only say in which order shingles are taken and over how many tasks the texts of one are dealt. Any order and any number give the
+    same links; an order that takes rare shingles first has few candidates.
     """
 
     def run(batches):
@@ -342,6 +349,14 @@ def common_shingles(rows: DataFrame, shingle: int, part: int = 64, least: int =
     return h[order], n[order]
 
 
+def seen(members: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the documents looked at have each shingle; 0 for those that are not ``common``."""
+    if not len(common[0]):
+        return np.zeros(len(members), np.int64)
+    at = np.minimum(np.searchsorted(common[0], members), len(common[0]) - 1)
+    return np.where(common[0][at] == members, common[1][at], 0)
+
+
 def prefix(members: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
     """The members of a set of which it shares one with every larger similar set, and how many serve for larger sets alone.
 
@@ -350,18 +365,17 @@ def prefix(members: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent:
     """
     n = len(members)
     if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], members), len(common[0]) - 1)
-        members = members[np.lexsort((members, np.where(common[0][at] == members, common[1][at], 0)))]
+        members = members[np.lexsort((members, seen(members, common)))]
     return members[: n + (-percent * n // 100) + 1], n + (-2 * percent * n // (100 + percent)) + 1
 
 
 PARITY = ["w0", "w1", "w2", "w3"]
 
 
-def describe(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, fp, sim, size, leads, w0 .. w3, parity, keys) of (doc_id, text) rows: the digest of the shingle set, its fingerprint, the
+def describe(rows: DataFrame, shingle: int, percent: int, split: int = SPLIT) -> DataFrame:
+    """(doc_id, fp, sim, size, leads, w0 .. w3, parity, keys, salts) of (doc_id, text) rows: the digest of the shingle set, its fingerprint, the
     number of shingles, how many of the keys serve for larger sets, the parities of 256 classes of shingles and of more classes
-    than there are shingles, and the first members."""
+    than there are shingles, the first members, and for those that over ``split`` texts seem to have a number from 1 on, else 0."""
     common = common_shingles(rows, shingle)
 
     def parities(x: np.ndarray) -> np.ndarray:
@@ -377,13 +391,17 @@ def describe(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             wide = [parities(x) for x in sets]
             bits = np.stack([folded(x, 32).view(np.int64) for x in wide])
             ends = np.cumsum([0, *(len(f) for f, _ in firsts)])
-            columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([sim for _, sim in found], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([n for _, n in firsts], pa.int32())]
+            digests, keys = [xxh3_128_digest(x.tobytes()) for x in sets], np.concatenate([f for f, _ in firsts])
+            spread = np.maximum(seen(keys, common) * SAMPLED // split, 1)
+            lot = np.repeat([int.from_bytes(x[:4], "little") for x in digests], np.diff(ends))
+            columns = [pa.array(digests, pa.binary()), pa.array([sim for _, sim in found], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([n for _, n in firsts], pa.int32())]
             columns += [*(pa.array(bits[:, k]) for k in range(4)), pa.array([x.tobytes() for x in wide], pa.binary())]
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f for f, _ in firsts]).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "sim", "size", "leads", *PARITY, "parity", "keys"])
+            for x in (keys.view(np.int64), np.where(spread > 1, 1 + lot % spread, 0).astype(np.int32)):
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "fp", "sim", "size", "leads", *PARITY, "parity", "keys", "salts"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sim bigint, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, parity binary, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sim bigint, size int, leads int, w0 bigint, w1 bigint, w2 bigint, w3 bigint, parity binary, keys array<bigint>, salts array<int>")
 
 
 def folded(parity: np.ndarray, size: int) -> np.ndarray:
@@ -421,14 +439,15 @@ def fingerprint_links(fps: DataFrame, distance: int) -> DataFrame:
 
 def candidates(fps: DataFrame, percent: int) -> DataFrame:
     """(a, b) candidates that share one of their first members, and, with b null, (key, node as a, meta) of each row of a key that has
-    over ``MANY`` of them, where only neighbours are candidates yet. A row is dealt out with its size alone: 20 bytes."""
+    over ``MANY`` of them or is dealt over several tasks, where only neighbours in a task are candidates yet. A row is dealt out with its
+    size alone: 24 bytes."""
 
     def compare(batches):
         for table in _whole_keys(batches):
             t = {c: table.column(c).to_numpy() for c in table.column_names}
             first = np.flatnonzero(np.concatenate(([True], t["key"][1:] != t["key"][:-1])))
             count = np.diff(np.append(first, len(t["key"])))
-            crowded = np.repeat(count > MANY, count)
+            crowded = np.repeat((count > MANY) | (t["salt"][first] > 0), count)
             a, b = _pairs(t, percent, MANY)
             near = (~crowded[a] | (b - a <= NEIGHBOURS)) & (t["node"][a] != t["node"][b])
             a, b = t["node"][a[near]], t["node"][b[near]]
@@ -438,20 +457,33 @@ def candidates(fps: DataFrame, percent: int) -> DataFrame:
             yield from pa.Table.from_arrays(columns, names=["a", "b", "key", "meta"]).combine_chunks().to_batches(max_chunksize=1 << 16)
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("bigint").alias("node"), "size", "leads", "keys")).alias("x")).select("x.*")
-    dealt = sets.select("node", "size", "leads", F.posexplode("keys").alias("at", "key")).select("key", "node", F.expr("2 * size + int(at < leads)").alias("meta"))
-    return dealt.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").mapInArrow(compare, "a bigint, b bigint, key bigint, meta int")
+    sets = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("bigint").alias("node"), "size", "leads", "keys", "salts")).alias("x")).select("x.*")
+    dealt = sets.select("node", "size", "leads", F.posexplode(F.arrays_zip("keys", "salts")).alias("at", "x"))
+    dealt = dealt.select(F.col("x.keys").alias("key"), F.col("x.salts").alias("salt"), "node", F.expr("2 * size + int(at < leads)").alias("meta"))
+    return dealt.repartition(parts, "key", "salt").sortWithinPartitions("key", "meta", "node").mapInArrow(compare, "a bigint, b bigint, key bigint, meta int")
+
+
+def tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """(key, node, ...) rows, of which ``n`` have their key, as rows of smaller keys with a ``side``. Any two rows of a key meet under just one.
+
+    A key of n rows is cut into n / ``tile`` parts by a hash of the node, and each row goes to the pairs of its part with every one."""
+    own, cut = F.pmod(F.xxhash64("node"), F.col("cut")), F.ceil(F.col("n") / tile)
+    rows = rows.withColumn("cut", cut).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, cut - 1)")))
+    name = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    return rows.withColumn("key", F.when(F.col("cut") > 1, name).otherwise(F.col("key"))).withColumn("side", side).drop("n", "cut", "own", "other")
 
 
-def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int = 3) -> DataFrame:
+def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int = 3, split: int = SPLIT, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) of the documents that are not the smallest of their near-duplicate component.
 
     Texts are linked if their sets of shingles have a Jaccard similarity of at least ``percent`` in a hundred, and no such pair is
     left out. Fingerprints within ``distance`` bits, found by pigeonhole blocks, give most links at little cost. For the
     rest, in any order of all shingles two similar sets share one of their first members (``prefix``), and each distinct set is
     dealt out under these. Candidates pass bounds on size and parity, those between components that are not known to be one yet
-    are compared, and the texts decide. Of a key with over ``MANY`` rows only neighbours are compared at first; once their links are known,
-    all pairs that these leave in different components are.
+    are compared, and the texts decide. Of a key with over ``MANY`` rows only neighbours are compared at first, and one with over ``split``
+    is dealt over several tasks; once their links are known, all pairs that these leave in different components are compared, in tiles of
+    at most two times ``tile`` rows on average, each a task's work.
 
     Rows without an id take no part and stay. A null text is empty; texts of fewer words than a shingle are one shingle, so empty ones
     are copies of each other. An empty table gives no rows; other columns are not read.
@@ -460,7 +492,7 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     scratch = Scratch(spark, "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    fps = scratch.keep(describe(rows, shingle, percent), "fps")
+    fps = scratch.keep(describe(rows, shingle, percent, split), "fps")
     node = F.col("doc_id").cast("bigint")
     met = scratch.keep(candidates(fps, percent), "met")
     pairs = scratch.keep(sieved(met.where("b is not null").select("a", "b").distinct(), fps, percent), "pairs")
@@ -477,8 +509,8 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     if not crowds.isEmpty():
         named = scratch.keep(crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
         # most keys of a large group hold one component by now and have nothing left to compare
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        apart = named.join(mixed, "key").join(fps.select(node.alias("node"), *PARITY), "node")
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "n")
+        apart = tiles(named.join(mixed, "key").join(fps.select(node.alias("node"), *PARITY), "node"), tile)
 
         def compare_rest(batches):
             for table in _whole_keys(batches):
@@ -487,7 +519,7 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
                 a, b = t["node"][a], t["node"][b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        more = apart.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").select("key", "node", "meta", *PARITY, "root").mapInArrow(compare_rest, "a bigint, b bigint")
+        more = apart.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").select("key", "node", "meta", *PARITY, "root", "side").mapInArrow(compare_rest, "a bigint, b bigint")
         more = verified(sieved(more.where("a <> b").distinct(), fps, percent), texts, shingle, percent)
         roots = components(linked.union(more), scratch)
     scratch.drop("met", "pairs", "close", "texts")

@@ -70,8 +70,29 @@ def test_components_against_all_pairs(spark):
                 root = [low if x == high else x for x in root]
     want = {i: x for i, x in enumerate(root) if i != x}
     rows = list(enumerate(texts))
-    gone = {x.doc_id: x.component_id for x in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert gone == want and len(want) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"split": 16, "tile": 40}):  # the second deals frequent shingles over tasks and compares in tiles
+        assert {x.doc_id: x.component_id for x in simhash.copies(docs, **sizes).collect()} == want
+    assert len(want) > 100
+    salts = simhash.describe(docs.na.fill(""), 5, 80, 16).select(F.explode("salts").alias("s"))
+    assert salts.where("s > 1").count() > 20
+
+
+def test_rows_of_a_key_meet_once(spark):
+    """Whatever the size of a key, any two of its rows share one smaller key in which their sides let them be compared."""
+    rows = [(k, 1000 * k + i, n) for k, n in enumerate((1, 5, 33, 100)) for i in range(n)]
+    dealt = simhash.tiles(spark.createDataFrame(rows, "key long, node long, n long"), 10).collect()
+    groups, met = {}, {}
+    for r in dealt:
+        groups.setdefault(r.key, []).append(r)
+    for members in groups.values():
+        assert len(members) <= 40
+        for i, a in enumerate(members):
+            for b in members[:i]:
+                if a.side < 0 or a.side != b.side:
+                    pair = frozenset((a.node, b.node))
+                    met[pair] = met.get(pair, 0) + 1
+    assert set(met.values()) == {1} and len(met) == sum(n * (n - 1) // 2 for n in (1, 5, 33, 100))
 
 
 def test_candidates_grow_with_the_table(spark):
