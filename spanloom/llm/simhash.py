@@ -37,8 +37,8 @@ CROWD = 2048
 #: Of a shingle's texts, if there are more than this, only so many neighbours are compared before the rest.
 MANY, NEIGHBOURS = 32, 4
 #: One document in so many is looked at for frequent shingles; the texts of one that has over ``SPLIT`` by that count are dealt over several
-#: tasks at first, and compared in tiles of two times ``TILE`` texts after.
-SAMPLED, SPLIT, TILE = 64, 4096, 2048
+#: tasks at first. The n texts of one are compared in tiles of two times the square root of n ``TILE`` texts.
+SAMPLED, SPLIT, TILE = 64, 4096, 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -466,8 +466,9 @@ def candidates(fps: DataFrame, percent: int) -> DataFrame:
 def tiles(rows: DataFrame, tile: int) -> DataFrame:
     """(key, node, ...) rows, of which ``n`` have their key, as rows of smaller keys with a ``side``. Any two rows of a key meet under just one.
 
-    A key of n rows is cut into n / ``tile`` parts by a hash of the node, and each row goes to the pairs of its part with every one."""
-    own, cut = F.pmod(F.xxhash64("node"), F.col("cut")), F.ceil(F.col("n") / tile)
+    A key of n rows is cut into as many parts as the root of n / ``tile``, by a hash of the node, and each row goes to the pairs of its part
+    with every one: so many times its rows are dealt out, and a pair of parts has at most about 2 n ``tile`` pairs of rows to compare."""
+    own, cut = F.pmod(F.xxhash64("node"), F.col("cut")), F.ceil(F.sqrt(F.col("n") / tile))
     rows = rows.withColumn("cut", cut).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, cut - 1)")))
     name = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
@@ -482,8 +483,8 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     rest, in any order of all shingles two similar sets share one of their first members (``prefix``), and each distinct set is
     dealt out under these. Candidates pass bounds on size and parity, those between components that are not known to be one yet
     are compared, and the texts decide. Of a key with over ``MANY`` rows only neighbours are compared at first, and one with over ``split``
-    is dealt over several tasks; once their links are known, all pairs that these leave in different components are compared, in tiles of
-    at most two times ``tile`` rows on average, each a task's work.
+    is dealt over several tasks; once their links are known, all pairs that these leave in different components are compared, in
+    ``tiles`` that grow with the root of its rows.
 
     Rows without an id take no part and stay. A null text is empty; texts of fewer words than a shingle are one shingle, so empty ones
     are copies of each other. An empty table gives no rows; other columns are not read.

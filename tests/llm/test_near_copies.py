@@ -71,7 +71,7 @@ def test_components_against_all_pairs(spark):
     want = {i: x for i, x in enumerate(root) if i != x}
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for sizes in ({}, {"split": 16, "tile": 40}):  # the second deals frequent shingles over tasks and compares in tiles
+    for sizes in ({}, {"split": 16, "tile": 4}):  # the second deals frequent shingles over tasks and compares in tiles
         assert {x.doc_id: x.component_id for x in simhash.copies(docs, **sizes).collect()} == want
     assert len(want) > 100
     salts = simhash.describe(docs.na.fill(""), 5, 80, 16).select(F.explode("salts").alias("s"))
@@ -81,7 +81,7 @@ def test_components_against_all_pairs(spark):
 def test_rows_of_a_key_meet_once(spark):
     """Whatever the size of a key, any two of its rows share one smaller key in which their sides let them be compared."""
     rows = [(k, 1000 * k + i, n) for k, n in enumerate((1, 5, 33, 100)) for i in range(n)]
-    dealt = simhash.tiles(spark.createDataFrame(rows, "key long, node long, n long"), 10).collect()
+    dealt = simhash.tiles(spark.createDataFrame(rows, "key long, node long, n long"), 2).collect()
     groups, met = {}, {}
     for r in dealt:
         groups.setdefault(r.key, []).append(r)
