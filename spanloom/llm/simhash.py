@@ -17,7 +17,6 @@ bits reaches every pair of a given similarity, so an exact filter on shingles fi
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations, count, repeat
 
 import numpy as np
@@ -315,13 +314,30 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int = 80) -> bool:
     return (100 + percent) * both >= percent * (len(one) + len(two))
 
 
+def remembered(make, limit: int = 16 << 20):
+    """``make`` of a text, kept for the next time until texts and sets of about ``limit`` bytes are."""
+    known, held = {}, 0
+
+    def get(text: str) -> np.ndarray:
+        nonlocal held
+        if text not in known:
+            if held > limit:
+                known.clear()
+                held = 0
+            known[text] = make(text)
+            held += len(text) + known[text].nbytes
+        return known[text]
+
+    return get
+
+
 def verified(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs``, ids of (doc_id, text) ``rows``, whose texts are similar by their whole shingle sets."""
 
     def check(batches):
-        sets = lru_cache(256)(lambda text: shingle_set(text, shingle))
+        sets = remembered(lambda text: shingle_set(text, shingle))
         for x in batches:
-            ok = [similar(sets(one), sets(two), percent) for one, two in zip(x.column(2).to_pylist(), x.column(3).to_pylist())]
+            ok = [similar(sets(one), sets(two), percent) for one, two in ((p.as_py(), q.as_py()) for p, q in zip(x.column(2), x.column(3)))]
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     ids = F.col("doc_id").cast("bigint")
