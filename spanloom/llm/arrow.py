@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batch_bytes(spark: SparkSession, limit: int):
+    """What is run within the block goes to Python in batches of about ``limit`` bytes, for rows whose texts Python holds in pairs."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

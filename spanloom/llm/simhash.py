@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from spanloom.llm.arrow import text_batches
+from spanloom.llm.arrow import batch_bytes, text_batches
 from spanloom.tables import Scratch
 
 BITS = 64
@@ -38,6 +38,8 @@ MANY, NEIGHBOURS = 32, 4
 #: One document in so many is looked at for frequent shingles; the texts of one that has over ``SPLIT`` by that count are dealt over several
 #: tasks at first, and compared in tiles of two times ``TILE`` texts after.
 SAMPLED, SPLIT, TILE = 64, 4096, 2048
+#: Pairs handed on at a time, and the bytes of an Arrow batch while texts are compared in pairs.
+BLOCK, BATCH = 1 << 17, 8 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -232,8 +234,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _pairs(t: dict[str, np.ndarray], percent: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the candidates among rows that are sorted by key and size; rows over ``reach`` places apart are not compared.
+def _pairs(t: dict[str, np.ndarray], percent: int, reach: int, block: int = BLOCK):
+    """Places of the candidates, about ``block`` at a time, among rows that are sorted by key and size; rows over ``reach`` places apart are
+    not compared.
 
     The lesser set must have the key among its first members that serve for larger ones (``meta`` is odd), and sizes must allow
     the similarity. Where rows have a ``root`` only those of different roots are compared, and where they have parities
@@ -245,11 +248,11 @@ def _pairs(t: dict[str, np.ndarray], percent: int, reach: int) -> tuple[np.ndarr
     root, side, parity = t.get("root"), t.get("side"), np.stack([t[f"w{k}"].view(np.uint64) for k in range(4)], 1) if "w0" in t else None
     bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     end = np.repeat(np.append(bounds[1:], len(key)), np.diff(np.append(bounds, len(key))))
-    left, right, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+    left, right, held, step = [], [], 0, 1
     live = np.flatnonzero((t["meta"] & 1 == 1) & (np.arange(len(key)) + 1 < end))
     while len(live) and step <= reach:
         live = live[size[live + step] * percent <= 100 * size[live]]
-        for part in np.array_split(live, len(live) // (1 << 16) + 1):
+        for part in np.array_split(live, len(live) // block + 1):
             if root is not None:
                 part = part[root[part] != root[part + step]]
             if side is not None:
@@ -259,9 +262,14 @@ def _pairs(t: dict[str, np.ndarray], percent: int, reach: int) -> tuple[np.ndarr
                 part = part[bits * (100 + percent) <= (size[part] + size[part + step]) * (100 - percent)]
             left.append(part)
             right.append(part + step)
+            held += len(part)
+            if held >= block:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
         step += 1
         live = live[live + step < end[live]]
-    return np.concatenate(left), np.concatenate(right)
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def _whole_keys(batches):
@@ -458,19 +466,22 @@ def candidates(fps: DataFrame, percent: int) -> DataFrame:
     over ``MANY`` of them or is dealt over several tasks, where only neighbours in a task are candidates yet. A row is dealt out with its
     size alone: 24 bytes."""
 
+    names = ["a", "b", "key", "meta"]
+
     def compare(batches):
         for table in _whole_keys(batches):
             t = {c: table.column(c).to_numpy() for c in table.column_names}
             first = np.flatnonzero(np.concatenate(([True], t["key"][1:] != t["key"][:-1])))
             count = np.diff(np.append(first, len(t["key"])))
             crowded = np.repeat((count > MANY) | (t["salt"][first] > 0), count)
-            a, b = _pairs(t, percent, MANY)
-            near = (~crowded[a] | (b - a <= NEIGHBOURS)) & (t["node"][a] != t["node"][b])
-            a, b = t["node"][a[near]], t["node"][b[near]]
+            for a, b in _pairs(t, percent, MANY):
+                near = (~crowded[a] | (b - a <= NEIGHBOURS)) & (t["node"][a] != t["node"][b])
+                a, b = t["node"][a[near]], t["node"][b[near]]
+                none = (pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names=names)
             rest = table.filter(pa.array(crowded))
-            columns = [pa.chunked_array([pa.array(np.minimum(a, b)), *rest.column("node").chunks]), pa.chunked_array([pa.array(np.maximum(a, b)), pa.nulls(len(rest), pa.int64())])]
-            columns += [pa.chunked_array([pa.nulls(len(a), rest.column(c).type), *rest.column(c).chunks]) for c in ("key", "meta")]
-            yield from pa.Table.from_arrays(columns, names=["a", "b", "key", "meta"]).combine_chunks().to_batches(max_chunksize=1 << 16)
+            columns = [rest.column("node"), pa.nulls(len(rest), pa.int64()), rest.column("key"), rest.column("meta")]
+            yield from pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches(max_chunksize=1 << 16)
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("bigint").alias("node"), "size", "leads", "keys", "salts")).alias("x")).select("x.*")
@@ -504,6 +515,11 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
     Rows without an id take no part and stay. A null text is empty; texts of fewer words than a shingle are one shingle, so empty ones
     are copies of each other. An empty table gives no rows; other columns are not read.
     """
+    with batch_bytes(docs.sparkSession, BATCH):  # all that Python compares is written within
+        return _copies(docs, shingle, percent, distance, split, tile)
+
+
+def _copies(docs: DataFrame, shingle: int, percent: int, distance: int, split: int, tile: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "copies")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -531,9 +547,9 @@ def copies(docs: DataFrame, shingle: int = 5, percent: int = 80, distance: int =
         def compare_rest(batches):
             for table in _whole_keys(batches):
                 t = {c: table.column(c).to_numpy() for c in table.column_names}
-                a, b = _pairs(t, percent, len(t["key"]))
-                a, b = t["node"][a], t["node"][b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                for a, b in _pairs(t, percent, len(t["key"])):
+                    a, b = t["node"][a], t["node"][b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         more = apart.repartition(parts, "key").sortWithinPartitions("key", "meta", "node").select("key", "node", "meta", *PARITY, "root", "side").mapInArrow(compare_rest, "a bigint, b bigint")
         more = verified(sieved(more.where("a <> b").distinct(), fps, percent), texts, shingle, percent)
