@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import simhash
+from spanloom.llm.arrow import BATCH_BYTES, batch_bytes
 from spanloom.tables import table
 
 
@@ -95,6 +98,31 @@ def test_rows_of_a_key_meet_once(spark):
     assert set(met.values()) == {1} and len(met) == sum(n * (n - 1) // 2 for n in (1, 5, 33, 100))
 
 
+def test_pairs_come_in_blocks():
+    """Small blocks hold the pairs that one large block does, none is much larger than asked for, and no rows give none."""
+    r = np.random.default_rng(2)
+    size = np.sort(r.integers(20, 40, 900))
+    t = {"key": np.repeat(np.arange(3), 300), "meta": (2 * size + r.integers(0, 2, 900)).astype(np.int32), "root": r.integers(0, 50, 900)}
+    whole = list(simhash._pairs(t, 80, 900, 1 << 30))
+    parts = list(simhash._pairs(t, 80, 900, 500))
+    flat = lambda found: sorted((int(x), int(y)) for a, b in found for x, y in zip(a, b))
+    want = [
+        (x, y) for x in range(900) for y in range(x + 1, 900)
+        if t["key"][x] == t["key"][y] and t["meta"][x] & 1 and size[y] * 80 <= 100 * size[x] and t["root"][x] != t["root"][y]
+    ]
+    assert len(whole) == 1 and len(parts) > 10 and max(len(a) for a, _ in parts) < 500 + 900
+    assert flat(whole) == flat(parts) == want
+    assert not list(simhash._pairs({k: x[:0] for k, x in t.items()}, 80, 900))
+
+
+def test_batch_bytes_are_put_back(spark):
+    before = spark.conf.get(BATCH_BYTES)
+    with pytest.raises(ValueError), batch_bytes(spark, 1 << 20):
+        assert spark.conf.get(BATCH_BYTES) == str(1 << 20)
+        raise ValueError
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
 def test_candidates_grow_with_the_table(spark):
     """Candidates for a document stay as few on a table ten times larger, and an oversized key is not compared pair by pair."""
     each = []
